@@ -80,6 +80,7 @@ def recent_stop_max_mean(
             slot,
             2 * k,
             {"_loads": lambda w: F.collect_list(F.when(F.col("_row") == 1, F.struct("load"))).over(w.rowsBetween(-2 * k, -1))},
+            carry=["load"],
         ).filter(F.col("_row") == 0)
         loads = F.slice(F.reverse("_loads"), 1, k)["load"]
         total = F.aggregate(F.array_compact(loads), F.lit(0.0), lambda a, x: a + x.cast("double"))
@@ -109,6 +110,7 @@ def rolling_max_class(
                 F.count(F.lit(1)).over(w.rowsBetween(-past, -1)) == past, F.max(cls).over(w.rowsBetween(-past, -1))
             ).otherwise(F.lit(-1))
         },
+        carry=[cls],
     )
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ridership.functions.times import hour_slot, time_window
@@ -29,28 +29,40 @@ def _relative_change(now: Column, then: Column) -> Column:
     return F.when((then == 0) & (now != 0), infinite).otherwise(F.try_divide(now, then) - F.lit(1))
 
 
+def _filled(df: DataFrame, cols: Sequence[str], scope: str, order: Sequence[str], slot: Column) -> DataFrame:
+    return running_last(df, scope_keys(scope), order, slot, {f"_f_{c}": F.col(c) for c in cols})
+
+
+def _pct_exprs(cols: Mapping[str, str]) -> dict[str, Callable[[WindowSpec], Column]]:
+    return {
+        name: lambda w, c=c: _relative_change(F.lag(f"_f_{c}", 1).over(w), F.lag(f"_f_{c}", 2).over(w))
+        for c, name in cols.items()
+    }
+
+
+def _quantile_exprs(cols: Mapping[str, str], n: int, q: float) -> dict[str, Callable[[WindowSpec], Column]]:
+    return {
+        name: lambda w, c=c: lower_quantile_of(F.collect_list(c).over(w.rowsBetween(-n, -1)), q)
+        for c, name in cols.items()
+    }
+
+
 def lag_and_pct_change(
-    df: DataFrame, cols: dict[str, str], scope: str = "route", order: Sequence[str] = ORDER, slot: Column | None = None
+    df: DataFrame,
+    cols: Mapping[str, str],
+    scope: str = "route",
+    order: Sequence[str] = ORDER,
+    slot: Column | None = None,
 ) -> DataFrame:
     """Relative change of the lagged column: the previous row against the one before it (G1).
 
     A NULL takes the latest value before it. A change from 0 is infinite, 0 to 0 is NULL. ``cols`` maps column -> new
     name.
     """
-    keys, slot = scope_keys(scope), _order_slot() if slot is None else slot
-    filled = running_last(df, keys, order, slot, {f"_f_{c}": F.col(c) for c in cols})
-    out = over_neighbours(
-        filled,
-        keys,
-        order,
-        slot,
-        2,
-        {
-            name: lambda w, c=c: _relative_change(F.lag(f"_f_{c}", 1).over(w), F.lag(f"_f_{c}", 2).over(w))
-            for c, name in cols.items()
-        },
-    )
-    return out.drop(*[f"_f_{c}" for c in cols])
+    slot = _order_slot() if slot is None else slot
+    fills = [f"_f_{c}" for c in cols]
+    filled = _filled(df, list(cols), scope, order, slot)
+    return over_neighbours(filled, scope_keys(scope), order, slot, 2, _pct_exprs(cols), carry=fills).drop(*fills)
 
 
 def lower_quantile_of(values: Column, q: float) -> Column:
@@ -61,7 +73,7 @@ def lower_quantile_of(values: Column, q: float) -> Column:
 
 def rolling_lower_quantile(
     df: DataFrame,
-    cols: dict[str, str],
+    cols: Mapping[str, str],
     n: int,
     q: float = 0.95,
     scope: str = "route",
@@ -69,14 +81,32 @@ def rolling_lower_quantile(
     slot: Column | None = None,
 ) -> DataFrame:
     """Lower quantile of the ``n`` rows before each row, the row itself excluded; NULLs do not count."""
+    slot = _order_slot() if slot is None else slot
+    return over_neighbours(df, scope_keys(scope), order, slot, n, _quantile_exprs(cols, n, q), carry=list(cols))
+
+
+def past_features(
+    df: DataFrame,
+    past_trips: int,
+    target: str = "y_reg100",
+    scope: str = "route",
+    order: Sequence[str] = ORDER,
+    slot: Column | None = None,
+) -> DataFrame:
+    """G1 and G2 of load and headway in one pass over the ordered rows."""
+    slot = _order_slot() if slot is None else slot
+    changes = {target: "load_pct_change", "actual_headways": "act_headway_pct_change"}
+    quantiles = {"actual_headways": "avg_past_act_headway", target: "avg_past_trips_loads"}
+    fills = [f"_f_{c}" for c in changes]
     return over_neighbours(
-        df,
+        _filled(df, list(changes), scope, order, slot),
         scope_keys(scope),
         order,
-        _order_slot() if slot is None else slot,
-        n,
-        {name: lambda w, c=c: lower_quantile_of(F.collect_list(c).over(w.rowsBetween(-n, -1)), q) for c, name in cols.items()},
-    )
+        slot,
+        max(2, past_trips),
+        {**_pct_exprs(changes), **_quantile_exprs(quantiles, past_trips, 0.95)},
+        carry=[*changes, *fills],
+    ).drop(*fills)
 
 
 def add_window_and_day(df: DataFrame, minutes: int) -> DataFrame:
@@ -93,10 +123,7 @@ def day_ahead_features(
 ) -> DataFrame:
     """Window, percentage changes and rolling quantiles of load and headway."""
     out = add_window_and_day(df, minutes)
-    out = lag_and_pct_change(out, {target: "load_pct_change", "actual_headways": "act_headway_pct_change"}, scope)
-    out = rolling_lower_quantile(
-        out, {"actual_headways": "avg_past_act_headway", target: "avg_past_trips_loads"}, past_trips, 0.95, scope
-    )
+    out = past_features(out, past_trips, target, scope)
     out = out.drop("trip_id", "arrival_time", "actual_headways").na.drop()
     out = drop_nonfinite(out, "load_pct_change")
     headway = F.col("act_headway_pct_change")

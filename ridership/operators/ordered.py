@@ -38,18 +38,22 @@ def over_neighbours(
     before: int,
     exprs: Mapping[str, Callable[[WindowSpec], Column]],
     descending: bool = False,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Add window expressions whose frame reaches at most ``before`` rows back along ``order``.
 
     ``order`` must order the rows of a group completely for a repeatable result. ``descending`` runs the order
-    backwards, so "before" means the rows that follow.
+    backwards, so "before" means the rows that follow. ``carry`` names the columns, besides keys and order, that the
+    expressions read from other rows.
     """
     piece = [*keys, SLOT]
     sorts = _sorts(order, descending)
     rows = df.withColumn(SLOT, slot)
+    needed = list(dict.fromkeys([*keys, *order, *carry]))
     # the last rows of each piece; the filter on row_number limits each task's output before the shuffle
     tails = (
-        rows.withColumn("_n", F.row_number().over(Window.partitionBy(*piece).orderBy(*_sorts(order, not descending))))
+        rows.select(*needed, SLOT)
+        .withColumn("_n", F.row_number().over(Window.partitionBy(*piece).orderBy(*_sorts(order, not descending))))
         .filter(F.col("_n") <= before)
         .drop("_n")
     )
@@ -57,17 +61,17 @@ def over_neighbours(
     copies = (
         tails.select(
             SLOT,
-            F.collect_list(F.struct(*df.columns)).over(along.rowsBetween(-before, -1)).alias("_prev"),
+            F.collect_list(F.struct(*needed)).over(along.rowsBetween(-before, -1)).alias("_prev"),
             (~F.lag(SLOT).over(along).eqNullSafe(F.col(SLOT))).alias("_starts"),
         )
         .filter("_starts")
         .select(SLOT, F.explode("_prev").alias("_r"))
-        .select(*[F.col("_r")[c].alias(c) for c in df.columns], SLOT, F.lit(True).alias(COPY))
+        .select(*[F.col("_r")[c].alias(c) for c in needed], SLOT, F.lit(True).alias(COPY))
     )
     w = Window.partitionBy(*piece).orderBy(*sorts)
     return (
         rows.withColumn(COPY, F.lit(False))
-        .unionByName(copies)
+        .unionByName(copies, allowMissingColumns=True)
         .withColumns({name: f(w) for name, f in exprs.items()})
         .filter(~F.col(COPY))
         .drop(SLOT, COPY)

@@ -119,6 +119,7 @@ def ecdf_inverse(curve: DataFrame, ps: Sequence[float], by: Sequence[str] = (),
         _value_slot("value", slot_width),
         1,
         {"_cdf0": lambda w: F.lag("cdf").over(w), "_value0": lambda w: F.lag("value").over(w)},
+        carry=["cdf"],
     )
     hit = (F.col("cdf") == F.col("p")) | ((F.col("_cdf0") < F.col("p")) & (F.col("p") < F.col("cdf")))
     frac = (F.col("p") - F.col("_cdf0")) / (F.col("cdf") - F.col("_cdf0"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ridership.functions.times import epoch_seconds, time_window_rounded
 from ridership.operators.basic import cap_target, route_direction_key
-from ridership.operators.clean import drop_trips_missing
 
 
 def first_of(col: str, order: Sequence[str]) -> Column:
@@ -42,33 +41,38 @@ def trip_rollup(
 ) -> DataFrame:
     """One row per trip and day (F1).
 
-    ``y_reg100`` / ``y_reg095`` are the exact maximum and 95th percentile of the load. The loads of the trip come as
-    ``load_counts``, a sorted array of (load, n): the whole multiset in the size of its distinct values, whatever the
-    number of rows. ``functions.arrays.expand_counts`` turns it into the list. ``time`` may be the scheduled time.
+    ``y_reg100`` / ``y_reg095`` are the exact maximum and 95th percentile of the load. ``time`` may be the scheduled
+    time. The list of loads is ``trip_loads``.
     """
-    keys = list(keys)
-    per_load = df.groupBy(*keys, F.col("load").cast("int").alias("load")).agg(F.count(F.lit(1)).alias("n"))
-    loads = per_load.groupBy(*keys).agg(
-        F.max("load").cast("double").alias("y_reg100"),
-        F.percentile("load", 0.95, F.col("n")).alias("y_reg095"),
-        F.array_sort(
-            F.collect_list(F.when(F.col("load").isNotNull(), F.struct("load", "n")))
-        ).alias("load_counts"),
-    )
-    trips = df.groupBy(*keys).agg(
+    load = F.col("load").cast("int")
+    return df.groupBy(*keys).agg(
         first_of(time, order).alias("arrival_time"),
         F.count("stop_id").alias("num_records"),
         *[first_of(c, order).alias(c) for c in firsts if c in df.columns],
         *[F.avg(F.col(c).cast("float")).alias(n) for c, n in means.items() if c in df.columns],
+        F.max(load).cast("double").alias("y_reg100"),
+        F.percentile(load, 0.95).alias("y_reg095"),
     )
-    return trips.join(loads, keys)
+
+
+def trip_loads(df: DataFrame, keys: Sequence[str] = ("transit_date", "trip_id")) -> DataFrame:
+    """All loads of a trip as ``load_counts``, a sorted array of (load, n) (F1).
+
+    It holds every load in the size of the distinct ones, whatever the number of rows;
+    ``functions.arrays.expand_counts`` turns it into the list.
+    """
+    counts = df.filter(F.col("load").isNotNull()).groupBy(*keys, "load").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("load", "n"))).alias("load_counts"))
 
 
 def finish_trips(trips: DataFrame, required: Sequence[str] = ("temperature", "scheduled_headway")) -> DataFrame:
-    """The steps after ``trip_rollup``: route key, rounded half-hour window, target cap, trips lacking weather or headway."""
+    """The steps after ``trip_rollup``: route key, rounded half-hour window, target cap, trips lacking weather or headway.
+
+    A trip is one row here, so the last step is a filter.
+    """
     out = route_direction_key(trips).withColumn("time_window", time_window_rounded("arrival_time", "hour"))
     out = cap_target(out, "y_reg100")
-    return drop_trips_missing(out, [c for c in required if c in out.columns]).drop("num_records")
+    return out.na.drop(subset=[c for c in required if c in out.columns]).drop("num_records")
 
 
 def rollup(df: DataFrame, keys: Sequence[str], spec: Mapping[str, str], order: Sequence[str]) -> DataFrame:

@@ -22,6 +22,7 @@ def _windows(
         slot,
         length - 1,
         {"seq": lambda w: F.collect_list(F.struct(*cols)).over(w.rowsBetween(-(length - 1), 0))},
+        carry=cols,
     ).filter(F.size("seq") == length)
     if step > 1:
         runs = runs.filter((F.col("_rn") - length) % step == 0).drop("_rn")

@@ -20,11 +20,10 @@ def stop_level(
     weather_time: str = "time",
 ) -> DataFrame:
     """Stop events with calendar parts, hourly weather, delay, dwell, headways and headway flags."""
-    hourly = enrich.weather_hourly(weather, weather_values, weather_time)
-    out = enrich.join_weather(calendar_parts(events), hourly)
+    out = headway.actual_headway(headway.scheduled_headway(events, tie), tie)
+    out = headway.headway_flags(calendar_parts(out))
     out = out.withColumns({"delay_time": delay_seconds(), "dwell_time": dwell_seconds()})
-    out = headway.actual_headway(headway.scheduled_headway(out, tie), tie)
-    return headway.headway_flags(out)
+    return enrich.join_weather(out, enrich.weather_hourly(weather, weather_values, weather_time))
 
 
 def preprocess(
@@ -39,7 +38,10 @@ def preprocess(
 
 
 def trip_level(stops: DataFrame, order: Sequence[str] = ("arrival_time", "stop_sequence")) -> DataFrame:
-    """Cleaned stop events rolled up to trips, with route key and rounded half-hour window."""
+    """Cleaned stop events rolled up to trips, with route key and rounded half-hour window.
+
+    ``stops`` should be a stored table (``session.stage``), as the cleaning reads it once per rule.
+    """
     return rollup.finish_trips(rollup.trip_rollup(clean.remove_null_events(stops), order=order))
 
 
@@ -48,7 +50,7 @@ def route_windows(
 ) -> DataFrame:
     """Training rows: trips with calendar flags, their time window, rolled up per date, route and window."""
     flagged = enrich.flag_school_break(enrich.flag_holiday(trips, holidays), school_breaks)
-    return rollup.route_window_rollup(features.trip_features(flagged.drop("load_counts"), minutes), target)
+    return rollup.route_window_rollup(features.trip_features(flagged, minutes), target)
 
 
 def load_windows(events: DataFrame, min_rows: int = 2, minutes: int = 30) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ridership.functions.times import window_start_ts
 from ridership.operators import enrich
 from ridership.operators.basic import between_dates, drop_nonfinite, same_weekday
-from ridership.operators.features import lag_and_pct_change, rolling_lower_quantile
+from ridership.operators.features import past_features
 from ridership.plans.feature_store import trip_level
 
 KEYS = ("route_id_direction", "time_window")
@@ -93,11 +93,7 @@ def day_ahead_input(
     ``scope='global'`` runs the features over all trips in time order, ``route`` within each route direction.
     """
     trips = trip_level(between_dates(stops, "transit_date", day - timedelta(days_behind), day - timedelta(1)))
-    past = lag_and_pct_change(trips, {target: "load_pct_change", "actual_headways": "act_headway_pct_change"}, scope)
-    past = rolling_lower_quantile(
-        past, {"actual_headways": "avg_past_act_headway", target: "avg_past_trips_loads"}, past_trips, 0.95, scope
-    )
-    past = drop_nonfinite(past.na.drop(), "load_pct_change")
+    past = drop_nonfinite(past_features(trips, past_trips, target, scope).na.drop(), "load_pct_change")
     peaks = ["load_pct_change", "act_headway_pct_change", "avg_past_act_headway", "avg_past_trips_loads"]
     windows = past.groupBy(*KEYS).agg(*[F.max(c).alias(c) for c in ["scheduled_headway", *peaks]])
     return _complete(windows, hourly, speed, holidays, school_breaks, day, day, weather_last)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "ridership", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,3 +48,14 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/ridership-{uuid.uuid4().hex}/{name}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a table under the shared folder and read it back.
+
+    Operators that meet their input more than once (group cleaning, ordered windows) then scan a stored table with only
+    the columns they need, instead of computing a long plan again, and a lost executor costs a scan.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
