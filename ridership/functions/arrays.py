@@ -10,7 +10,7 @@ def lower_percentile(arr: Column | str, pct: float) -> Column:
     """Element at index ``floor((n - 1) * pct / 100)`` of the sorted non-NULL values; NULL for an empty array."""
     a = F.col(arr) if isinstance(arr, str) else arr
     a = F.array_sort(F.filter(a, lambda x: x.isNotNull()))
-    return F.try_element_at(a, (F.floor((F.size(a) - F.lit(1)) * F.lit(pct / 100.0)) + F.lit(1)).cast("int"))
+    return F.get(a, F.floor((F.size(a) - F.lit(1)) * F.lit(pct / 100.0)).cast("int"))
 
 
 def array_mean(arr: Column | str) -> Column:

@@ -66,9 +66,8 @@ def lag_and_pct_change(
 
 
 def lower_quantile_of(values: Column, q: float) -> Column:
-    return F.try_element_at(
-        F.array_sort(values), (F.floor((F.size(values) - F.lit(1)) * F.lit(q)) + F.lit(1)).cast("int")
-    )
+    at = F.floor((F.size(values) - F.lit(1)) * F.lit(q)).cast("int")
+    return F.get(F.array_sort(values), at)
 
 
 def rolling_lower_quantile(

@@ -1,4 +1,14 @@
 """The registered queries: each operator on the bound tables, next to the DuckDB text that gives the same rows."""
 
-from ridership.registry import cleaning, enrichment, rollups, sources, times  # noqa: F401  (importing a module registers its queries)
+from ridership.registry import (  # noqa: F401  (importing a module registers its queries)
+    cleaning,
+    disruptions,
+    enrichment,
+    features,
+    geo,
+    rollups,
+    sources,
+    times,
+    training,
+)
 from ridership.registry.base import ORACLES, QUERIES  # noqa: F401
