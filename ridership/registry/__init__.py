@@ -6,6 +6,7 @@ from ridership.registry import (  # noqa: F401  (importing a module registers it
     enrichment,
     features,
     geo,
+    models,
     rollups,
     sources,
     times,
