@@ -139,10 +139,6 @@ def gtfs_dayofweek(compat: bool = False) -> list[tuple[str, int]]:
     return [(d, i + 1 if compat else (i + 1) % 7 + 1) for i, d in enumerate(days)]
 
 
-def hour_slot(ts: Column | str, hours: int = 1) -> Column:
-    """Running number of the hour (or block of hours) a timestamp falls in; a slot for ``operators.ordered``."""
-    return F.floor(epoch_seconds(ts) / F.lit(3600 * hours))
-
-
-def day_slot(ts: Column | str) -> Column:
-    return hour_slot(ts, 24)
+def day_number(ts: Column | str) -> Column:
+    """Days since 1970 of the day a timestamp falls in."""
+    return F.unix_date(_col(ts).cast("timestamp").cast("date"))

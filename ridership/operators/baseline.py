@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridership.functions.bins import LOAD_CLASSES, Bound, assign_class
 from ridership.operators.enrich import concat
-from ridership.operators.ordered import over_neighbours, top_k
+from ridership.operators.ordered import PIECE_ROWS, Along, over_neighbours, top_k
 
 LOOKBACK_WEEKS = (1, 2, 4)
 
@@ -53,17 +53,17 @@ STOP_KEY = ("route_id_direction", "stop_sequence", "hour", "block_abbr", "dayofw
 def recent_stop_max_mean(
     df: DataFrame,
     tie: Sequence[str],
-    slot: Column,
     k: int = 10,
     keys: Sequence[str] = STOP_KEY,
     date: str = "transit_date",
     bounds: Sequence[Bound] = LOAD_CLASSES,
     compat: bool = False,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Maximum and mean of the last ``k`` loads of a stop, and their classes (K2).
 
     One row per key and date from the loads of earlier dates. With ``compat`` one row per key from its latest loads,
-    whatever the date. ``slot`` must follow the date.
+    whatever the date.
     """
     keys = list(keys)
     if compat:
@@ -76,8 +76,7 @@ def recent_stop_max_mean(
         recent = over_neighbours(
             rows.unionByName(probes, allowMissingColumns=True),
             keys,
-            [date, "_row", *tie],
-            slot,
+            Along([date, "_row", *tie], F.unix_date(date), piece_rows),
             2 * k,
             {"_loads": lambda w: F.collect_list(F.when(F.col("_row") == 1, F.struct("load"))).over(w.rowsBetween(-2 * k, -1))},
             carry=["load"],
@@ -95,15 +94,12 @@ def recent_stop_max_mean(
     )
 
 
-def rolling_max_class(
-    df: DataFrame, past: int, keys: Sequence[str], order: Sequence[str], slot: Column, cls: str = "y_class"
-) -> DataFrame:
+def rolling_max_class(df: DataFrame, past: int, keys: Sequence[str], along: Along, cls: str = "y_class") -> DataFrame:
     """Highest class of the ``past`` rows before, from row ``past`` of the trip on, -1 before that (K3)."""
     return over_neighbours(
         df,
         keys,
-        order,
-        slot,
+        along,
         past,
         {
             "y_pred_roll": lambda w: F.when(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ridership.functions.times import gtfs_dayofweek, hms_to_hour
 from ridership.operators.basic import route_direction_key
 from ridership.operators.clean import dedup_keep_first
-from ridership.operators.ordered import running_last
+from ridership.operators.ordered import Along, running_last
 
 WEATHER_KEYS = ("year", "month", "day", "hour")
 UTC_OFFSET_SECONDS = 18000  # fixed value: the readings are shifted to GMT-5
@@ -78,30 +78,27 @@ def join_trip_speed(
     speed: DataFrame,
     on_missing: str = "drop",
     keys: Sequence[str] = ("transit_date", "trip_id", "route_id_direction"),
-    order: Sequence[str] = (),
-    slot: Column | None = None,
+    along: Along | None = None,
 ) -> DataFrame:
     """Left join of trip speeds.
 
-    ``on_missing``: ``drop`` the row, ``backfill`` from the next row along ``order`` over the whole table, or ``mean``
-    of the joined speeds.
+    ``on_missing``: ``drop`` the row, ``backfill`` from the next row along an order of the whole table, or ``mean`` of
+    the joined speeds.
     """
     out = df.join(speed.select(*keys, "traffic_speed"), list(keys), "left")
     if on_missing == "drop":
         return out.filter(F.col("traffic_speed").isNotNull())
     if on_missing == "backfill":
-        return backfill(out, [], order, slot, ["traffic_speed"])
+        return backfill(out, [], along, ["traffic_speed"])
     if on_missing == "mean":
         mean = out.agg(F.avg("traffic_speed")).scalar()
         return out.withColumn("traffic_speed", F.coalesce("traffic_speed", mean))
     raise ValueError(f"on_missing: {on_missing}")
 
 
-def backfill(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], slot: Column, cols: Sequence[str]
-) -> DataFrame:
-    """Next non-NULL value along ``order``."""
-    out = running_last(df, keys, order, slot, {f"_next_{c}": F.col(c) for c in cols}, descending=True)
+def backfill(df: DataFrame, keys: Sequence[str], along: Along, cols: Sequence[str]) -> DataFrame:
+    """Next non-NULL value along the order."""
+    out = running_last(df, keys, along, {f"_next_{c}": F.col(c) for c in cols}, descending=True)
     return out.withColumns({c: F.col(f"_next_{c}") for c in cols}).drop(*[f"_next_{c}" for c in cols])
 
 

@@ -7,25 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridership.functions.times import epoch_seconds, hour_slot
-from ridership.operators.ordered import over_neighbours, running_sum
+from ridership.functions.times import epoch_micros, epoch_seconds
+from ridership.operators.ordered import PIECE_ROWS, Along, over_neighbours, running_sum
 
 STOP = ("transit_date", "route_id", "route_direction_name", "stop_id")
 
 
-def headway(df: DataFrame, time: str, name: str, tie: Sequence[str], keys: Sequence[str] = STOP) -> DataFrame:
+def headway(
+    df: DataFrame, time: str, name: str, tie: Sequence[str], keys: Sequence[str] = STOP, piece_rows: int = PIECE_ROWS
+) -> DataFrame:
     """Whole seconds since the previous event at the same stop, NULL for the first."""
     return over_neighbours(
-        df, keys, [time, *tie], hour_slot(time), 1, {name: lambda w: epoch_seconds(time) - epoch_seconds(F.lag(time).over(w))}
+        df,
+        keys,
+        Along([time, *tie], epoch_micros(time), piece_rows),
+        1,
+        {name: lambda w: epoch_seconds(time) - epoch_seconds(F.lag(time).over(w))},
     )
 
 
-def scheduled_headway(df: DataFrame, tie: Sequence[str]) -> DataFrame:
-    return headway(df, "scheduled_time", "sched_hdwy", tie)
+def scheduled_headway(df: DataFrame, tie: Sequence[str], piece_rows: int = PIECE_ROWS) -> DataFrame:
+    return headway(df, "scheduled_time", "sched_hdwy", tie, piece_rows=piece_rows)
 
 
-def actual_headway(df: DataFrame, tie: Sequence[str]) -> DataFrame:
-    return headway(df, "departure_time", "actual_hdwy", tie)
+def actual_headway(df: DataFrame, tie: Sequence[str], piece_rows: int = PIECE_ROWS) -> DataFrame:
+    return headway(df, "departure_time", "actual_hdwy", tie, piece_rows=piece_rows)
 
 
 def headway_flags(df: DataFrame, actual: str = "actual_hdwy", scheduled: str = "sched_hdwy") -> DataFrame:
@@ -41,17 +47,20 @@ def headway_flags(df: DataFrame, actual: str = "actual_hdwy", scheduled: str = "
 
 
 def time_to_next(
-    df: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str], name: str = "time_to_next_stop"
+    df: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    tie: Sequence[str],
+    name: str = "time_to_next_stop",
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Seconds, with fraction, to the next event of the group."""
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
     return over_neighbours(
         df,
         keys,
-        [time, *tie],
-        hour_slot(time),
+        Along([time, *tie], epoch_micros(time), piece_rows),
         1,
-        {name: lambda w: (micros(F.lag(time).over(w)) - micros(F.col(time))) / F.lit(1e6)},
+        {name: lambda w: (epoch_micros(F.lag(time).over(w)) - epoch_micros(time)) / F.lit(1e6)},
         descending=True,
     )
 
@@ -61,6 +70,7 @@ def derived_load(
     trip: Sequence[str] = ("transit_date", "trip_id"),
     time: str = "scheduled_time",
     tie: Sequence[str] = ("stop_sequence",),
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Load recomputed along a trip.
 
@@ -69,8 +79,7 @@ def derived_load(
     rows = running_sum(
         df,
         trip,
-        [time, *tie],
-        hour_slot(time),
+        Along([time, *tie], epoch_micros(time), piece_rows),
         {"_rn": F.lit(1), "_sum": F.col("ons") - F.col("offs")},
     )
     second = F.col("_rn") == 2

@@ -1,22 +1,23 @@
 """Ordered windows that stay distributed when one group holds a large share of the rows.
 
-A plain ``Window.partitionBy(keys)`` puts a whole group into one task. Here each group is cut into pieces along its
-order by a ``slot``: an expression that never decreases along the order (the hour of a timestamp, the high bits of a
-hash). Windows then run per ``(keys, slot)``, and what a piece needs from the pieces before it comes as a few extra
-rows:
+A plain ``Window.partitionBy(keys)`` puts a whole group into one task. Here a group of more than ``piece_rows`` rows is
+cut along its order, at approximate quantiles of its own positions, and windows run per ``(keys, piece)``. What a piece
+needs from the pieces before it comes as a few extra rows:
 
 * ``over_neighbours`` - frames of n rows (lag, lead, rolling statistics, sequences): copies of the n rows before the
   piece.
-* ``running`` - running sums, counts and last values: one seed row per piece with the total of the pieces before it.
+* ``running`` functions - sums, counts and last values: one seed row per piece with the total of the pieces before it.
 
-The extra rows are made from per-piece summaries, pre-aggregated before the shuffle, so the one window that spans a
-group sees a few rows per piece and never the rows themselves. With ``keys=[]`` the same code gives an order over the
-whole table without a single-task sort.
+Groups of ordinary size are left whole and get no extra row. Group sizes come from one count per key; when no group is
+large the adaptive planner finds the branches of the large groups empty and drops them. The one window that spans a
+large group sees a few rows per piece. With ``keys=[]`` the same code gives an order over the whole table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -24,45 +25,110 @@ from pyspark.sql import functions as F
 SLOT = "_slot"
 COPY = "_copy"
 SEED = "_seed"
+POS = "_pos"
+
+PIECE_ROWS = 5_000_000
+MAX_PIECES = 1024
+ACCURACY = 10_000
+
+
+@dataclass(frozen=True)
+class Along:
+    """An order: its columns (complete, for a repeatable result) and a number that never decreases along it.
+
+    A NULL position stands for the start of the order.
+    """
+
+    order: Sequence[str]
+    pos: Column
+    piece_rows: int = PIECE_ROWS
 
 
 def _sorts(cols: Sequence[str], descending: bool) -> list[Column]:
     return [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first() for c in cols]
 
 
+# Cut points of a group: approximate quantiles of its positions, as many as its size asks for, NULL for one piece.
+# The shares are one text literal, which keeps the plan short.
+_SHARES = ",".join(str(i / MAX_PIECES) for i in range(1, MAX_PIECES))
+_QUANTILES = f"percentile_approx({POS}, CAST(split('{_SHARES}', ',') AS ARRAY<DOUBLE>), {ACCURACY})"
+
+# Number of cut points at or below the position: a binary search by halving steps.
+_STEPS = ", ".join(str(1 << k) for k in range(MAX_PIECES.bit_length() - 1, -1, -1))
+_PIECE = f"aggregate(array({_STEPS}), 0, (at, step) -> IF(get(_cuts, at + step - 1) <= {POS}, at + step, at))"
+
+
+def _cut_points(piece_rows: int) -> Column:
+    pieces = f"least(ceil(count(1) / {piece_rows}), {MAX_PIECES})"
+    at = f"CAST(floor(i * {MAX_PIECES} / {pieces}) AS INT) - 1"
+    return F.expr(f"IF({pieces} > 1, transform(sequence(1, {pieces} - 1), i -> get({_QUANTILES}, {at})), NULL)")
+
+
+def cut_pieces(df: DataFrame, keys: Sequence[str], along: Along) -> DataFrame:
+    """Add the piece of each row as ``_slot``, NULL in a group left whole.
+
+    The functions below do this themselves; call it first where several of them follow on the same keys and order.
+    """
+    rows = df.withColumn(POS, along.pos.cast("double"))
+    if not keys:
+        cuts = rows.agg(_cut_points(along.piece_rows).alias("_cuts")).scalar()
+        return rows.withColumn("_cuts", cuts).withColumn(SLOT, F.expr(_PIECE)).drop(POS, "_cuts")
+    named = [F.col(k).alias(f"_k_{k}") for k in keys]
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    # at most total rows / piece_rows groups are large, and their cut points are at most as many again
+    large = rows.groupBy(*named).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > along.piece_rows).drop("_n")
+    cuts = (
+        rows.select(*keys, POS)
+        .join(F.broadcast(large), same)
+        .groupBy(*[f"_k_{k}" for k in keys])
+        .agg(_cut_points(along.piece_rows).alias("_cuts"))
+    )
+    return (
+        rows.join(F.broadcast(cuts), same, "left")
+        .withColumn(SLOT, F.expr(f"IF(_cuts IS NULL, NULL, {_PIECE})"))
+        .drop("_cuts", POS, *[f"_k_{k}" for k in keys])
+    )
+
+
+def _pieces(df: DataFrame, keys: Sequence[str], along: Along) -> tuple[DataFrame, DataFrame, list[str]]:
+    """All rows with their piece, the rows of cut groups only, and the columns to drop in the end."""
+    given = SLOT in df.columns
+    rows = df if given else cut_pieces(df, keys, along)
+    return rows, rows.filter(F.col(SLOT).isNotNull()), [] if given else [SLOT]
+
+
 def over_neighbours(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str],
-    slot: Column,
+    along: Along,
     before: int,
     exprs: Mapping[str, Callable[[WindowSpec], Column]],
     descending: bool = False,
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Add window expressions whose frame reaches at most ``before`` rows back along ``order``.
+    """Add window expressions whose frame reaches at most ``before`` rows back along the order.
 
-    ``order`` must order the rows of a group completely for a repeatable result. ``descending`` runs the order
-    backwards, so "before" means the rows that follow. ``carry`` names the columns, besides keys and order, that the
-    expressions read from other rows.
+    ``descending`` runs the order backwards, so "before" means the rows that follow. ``carry`` names the columns,
+    besides keys and order, that the expressions read from other rows.
     """
     piece = [*keys, SLOT]
-    sorts = _sorts(order, descending)
-    rows = df.withColumn(SLOT, slot)
-    needed = list(dict.fromkeys([*keys, *order, *carry]))
+    sorts = _sorts(along.order, descending)
+    rows, cut_rows, helpers = _pieces(df, keys, along)
+    needed = list(dict.fromkeys([*keys, *along.order, *carry]))
     # the last rows of each piece; the filter on row_number limits each task's output before the shuffle
+    from_end = Window.partitionBy(*piece).orderBy(*_sorts(along.order, not descending))
     tails = (
-        rows.select(*needed, SLOT)
-        .withColumn("_n", F.row_number().over(Window.partitionBy(*piece).orderBy(*_sorts(order, not descending))))
+        cut_rows.select(*needed, SLOT)
+        .withColumn("_n", F.row_number().over(from_end))
         .filter(F.col("_n") <= before)
         .drop("_n")
     )
-    along = Window.partitionBy(*keys).orderBy(*sorts)
+    group = Window.partitionBy(*keys).orderBy(*sorts)
     copies = (
         tails.select(
             SLOT,
-            F.collect_list(F.struct(*needed)).over(along.rowsBetween(-before, -1)).alias("_prev"),
-            (~F.lag(SLOT).over(along).eqNullSafe(F.col(SLOT))).alias("_starts"),
+            F.collect_list(F.struct(*needed)).over(group.rowsBetween(-before, -1)).alias("_prev"),
+            (~F.lag(SLOT).over(group).eqNullSafe(F.col(SLOT))).alias("_starts"),
         )
         .filter("_starts")
         .select(SLOT, F.explode("_prev").alias("_r"))
@@ -74,32 +140,31 @@ def over_neighbours(
         .unionByName(copies, allowMissingColumns=True)
         .withColumns({name: f(w) for name, f in exprs.items()})
         .filter(~F.col(COPY))
-        .drop(SLOT, COPY)
+        .drop(COPY, *helpers)
     )
 
 
 def _running(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str],
-    slot: Column,
+    along: Along,
     summary: Mapping[str, Column],
     carry: Callable[[str, WindowSpec], Column],
     step: Callable[[str, WindowSpec], Column],
     descending: bool,
 ) -> DataFrame:
     piece = [*keys, SLOT]
-    rows = df.withColumn(SLOT, slot)
-    slots = Window.partitionBy(*keys).orderBy(*_sorts([SLOT], descending))
-    before = slots.rowsBetween(Window.unboundedPreceding, -1)
+    rows, cut_rows, helpers = _pieces(df, keys, along)
+    pieces = Window.partitionBy(*keys).orderBy(*_sorts([SLOT], descending))
+    before = pieces.rowsBetween(Window.unboundedPreceding, -1)
     seeds = (
-        rows.groupBy(*piece)
+        cut_rows.groupBy(*piece)
         .agg(*[agg.alias(f"_s_{name}") for name, agg in summary.items()])
         .select(*piece, *[carry(f"_s_{name}", before).alias(f"_s_{name}") for name in summary], F.lit(0).alias(SEED))
     )
     w = (
         Window.partitionBy(*piece)
-        .orderBy(SEED, *_sorts(order, descending))
+        .orderBy(SEED, *_sorts(along.order, descending))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
@@ -107,25 +172,19 @@ def _running(
         .unionByName(seeds, allowMissingColumns=True)
         .withColumns({name: step(name, w) for name in summary})
         .filter(F.col(SEED) == 1)
-        .drop(SLOT, SEED, *[f"_s_{name}" for name in summary])
+        .drop(SEED, *helpers, *[f"_s_{name}" for name in summary])
     )
 
 
 def running_sum(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    slot: Column,
-    sums: Mapping[str, Column],
-    descending: bool = False,
+    df: DataFrame, keys: Sequence[str], along: Along, sums: Mapping[str, Column], descending: bool = False
 ) -> DataFrame:
     """Add running sums, the current row included; ``lit(1)`` as the summed value gives the row number."""
     valued = df.withColumns({f"_v_{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()})
     out = _running(
         valued,
         keys,
-        order,
-        slot,
+        along,
         {n: F.sum(f"_v_{n}") for n in sums},
         lambda s, before: F.sum(s).over(before),
         lambda n, w: F.sum(F.coalesce(f"_s_{n}", f"_v_{n}")).over(w),
@@ -134,34 +193,25 @@ def running_sum(
     return out.drop(*[f"_v_{n}" for n in sums])
 
 
-def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], slot: Column, name: str, descending: bool = False
-) -> DataFrame:
+def row_numbers(df: DataFrame, keys: Sequence[str], along: Along, name: str, descending: bool = False) -> DataFrame:
     """Row number of each row within its group."""
-    return running_sum(df, keys, order, slot, {name: F.lit(1)}, descending)
+    return running_sum(df, keys, along, {name: F.lit(1)}, descending)
 
 
 def running_last(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    slot: Column,
-    lasts: Mapping[str, Column],
-    descending: bool = False,
+    df: DataFrame, keys: Sequence[str], along: Along, lasts: Mapping[str, Column], descending: bool = False
 ) -> DataFrame:
     """Add the latest non-NULL value up to the current row; with ``descending`` the next one from it on."""
     valued = df.withColumns({f"_v_{n}": c for n, c in lasts.items()})
     pick = F.min_by if descending else F.max_by
 
     def latest(n: str) -> Column:
-        key = F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*order))
-        return pick(F.col(f"_v_{n}"), key)
+        return pick(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*along.order)))
 
     out = _running(
         valued,
         keys,
-        order,
-        slot,
+        along,
         {n: latest(n) for n in lasts},
         lambda s, before: F.last(s, ignorenulls=True).over(before),
         lambda n, w: F.last(F.coalesce(f"_s_{n}", f"_v_{n}"), ignorenulls=True).over(w),

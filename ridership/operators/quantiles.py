@@ -1,7 +1,7 @@
 """Exact distribution operators over value counts.
 
 Every operator first reduces the rows to counts per value, so the work after the first shuffle grows with the number of
-distinct values. Cumulative counts run through ``ordered.running_sum`` with the value range cut into slots.
+distinct values. Cumulative counts run through ``ordered.running_sum``.
 """
 
 from __future__ import annotations
@@ -12,11 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridership.operators.ordered import over_neighbours, running_sum
-
-
-def _value_slot(col: str, width: float) -> Column:
-    return F.floor(F.col(col) / F.lit(width))
+from ridership.operators.ordered import PIECE_ROWS, Along, over_neighbours, running_sum
 
 
 def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -25,10 +21,12 @@ def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     return hist
 
 
-def _cumulative(df: DataFrame, col: str, by: Sequence[str], slot_width: float) -> DataFrame:
-    return running_sum(
-        value_counts(df, col, by), by, ["value"], _value_slot("value", slot_width), {"cum": F.col("n")}
-    )
+def _by_value(piece_rows: int) -> Along:
+    return Along(["value"], F.col("value"), piece_rows)
+
+
+def _cumulative(df: DataFrame, col: str, by: Sequence[str], piece_rows: int) -> DataFrame:
+    return running_sum(value_counts(df, col, by), by, _by_value(piece_rows), {"cum": F.col("n")})
 
 
 def exact_quantiles(
@@ -37,14 +35,14 @@ def exact_quantiles(
     qs: Sequence[float],
     by: Sequence[str] = (),
     kind: str = "linear",
-    slot_width: float = 100.0,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Exact quantiles as columns ``q0, q1, ...``; one row per group, or one row without ``by``.
 
     ``lower`` takes the value at index ``floor((n - 1) * q)``, ``linear`` interpolates to the next index.
     """
     by = list(by)
-    hist = _cumulative(df, col, by, slot_width)
+    hist = _cumulative(df, col, by, piece_rows)
     totals = df.groupBy(*by).agg(F.count(col).alias("_total"))
     if by:
         hist = hist.join(totals, by)
@@ -101,22 +99,23 @@ def collect_bounds(bounds: DataFrame) -> list[tuple[float, float]]:
     return [(row[f"lo{i}"], row[f"hi{i}"]) for i in range(len(bounds.columns) // 2)]
 
 
-def ecdf(df: DataFrame, col: str, by: Sequence[str] = (), slot_width: float = 100.0) -> DataFrame:
+def ecdf(df: DataFrame, col: str, by: Sequence[str] = (), piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Empirical distribution function at each distinct value (F8)."""
     by = list(by)
-    hist = _cumulative(df, col, by, slot_width)
+    hist = _cumulative(df, col, by, piece_rows)
     totals = df.groupBy(*by).agg(F.count(col).alias("_total"))
     hist = hist.join(totals, by) if by else hist.withColumn("_total", totals.scalar())
     return hist.select(*by, "value", (F.col("cum") / F.col("_total")).alias("cdf"))
 
 
-def ecdf_inverse(curve: DataFrame, ps: Sequence[float], by: Sequence[str] = (), slot_width: float = 100.0) -> DataFrame:
+def ecdf_inverse(
+    curve: DataFrame, ps: Sequence[float], by: Sequence[str] = (), piece_rows: int = PIECE_ROWS
+) -> DataFrame:
     """Linear inverse of ``ecdf`` at each ``p``; NULL-free: a ``p`` outside the curve gives no row (F8)."""
     steps = over_neighbours(
         curve,
         by,
-        ["value"],
-        _value_slot("value", slot_width),
+        _by_value(piece_rows),
         1,
         {"_cdf0": lambda w: F.lag("cdf").over(w), "_value0": lambda w: F.lag("value").over(w)},
         carry=["cdf"],
@@ -133,7 +132,7 @@ def ecdf_inverse(curve: DataFrame, ps: Sequence[float], by: Sequence[str] = (),
     )
 
 
-def describe(df: DataFrame, cols: Sequence[str], slot_width: float = 100.0) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str], piece_rows: int = PIECE_ROWS) -> DataFrame:
     """count, mean, std, min, quartiles and max, one row per column."""
     cells = df.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols])).alias("c")
@@ -145,7 +144,7 @@ def describe(df: DataFrame, cols: Sequence[str], slot_width: float = 100.0) -> D
         F.min("x").alias("min"),
         F.max("x").alias("max"),
     )
-    quart = exact_quantiles(cells, "x", [0.25, 0.5, 0.75], by=["column"], slot_width=slot_width)
+    quart = exact_quantiles(cells, "x", [0.25, 0.5, 0.75], by=["column"], piece_rows=piece_rows)
     return stats.join(quart.withColumnsRenamed({"q0": "p25", "q1": "p50", "q2": "p75"}), "column")
 
 

@@ -4,22 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridership.operators.ordered import over_neighbours, row_numbers
+from ridership.operators.ordered import Along, over_neighbours, row_numbers
 
 
 def _windows(
-    df: DataFrame, length: int, cols: Sequence[str], keys: Sequence[str], order: Sequence[str], slot: Column, step: int
+    df: DataFrame, length: int, cols: Sequence[str], keys: Sequence[str], along: Along, step: int = 1
 ) -> DataFrame:
     """Every run of ``length`` rows as ``seq``, one row per run at its last row; shorter runs are left out."""
-    rows = df if step == 1 else row_numbers(df, keys, order, slot, "_rn")
+    rows = df if step == 1 else row_numbers(df, keys, along, "_rn")
     runs = over_neighbours(
         rows,
         keys,
-        order,
-        slot,
+        along,
         length - 1,
         {"seq": lambda w: F.collect_list(F.struct(*cols)).over(w.rowsBetween(-(length - 1), 0))},
         carry=cols,
@@ -36,12 +35,11 @@ def sliding_sequences(
     cols: Sequence[str],
     label: str,
     keys: Sequence[str],
-    order: Sequence[str],
-    slot: Column,
+    along: Along,
     step: int = 1,
 ) -> DataFrame:
     """x = ``past`` rows of all columns, y = the label of the ``future`` rows after them."""
-    runs = _windows(df, past + future, cols, keys, order, slot, step)
+    runs = _windows(df, past + future, cols, keys, along, step)
     return runs.withColumns({"x": F.slice("seq", 1, past), "y": F.slice("seq", past + 1, future)[label]}).drop("seq")
 
 
@@ -52,8 +50,7 @@ def encoder_decoder_sequences(
     cols: Sequence[str],
     label: str,
     keys: Sequence[str],
-    order: Sequence[str],
-    slot: Column,
+    along: Along,
     offset: int = 0,
 ) -> DataFrame:
     """As L9 with a gap of ``offset`` rows before the labels and a decoder input of -1.
@@ -61,7 +58,7 @@ def encoder_decoder_sequences(
     The decoder input covers the gap too: ``future + offset`` rows.
     """
     out_len = future + offset
-    runs = _windows(df, past + out_len, cols, keys, order, slot, 1)
+    runs = _windows(df, past + out_len, cols, keys, along)
     blank = F.array_repeat(F.array_repeat(F.lit(-1), len(cols)), out_len)
     return runs.withColumns(
         {"x": F.slice("seq", 1, past), "decoder_input": blank, "y": F.slice("seq", past + offset + 1, future)[label]}
@@ -75,13 +72,12 @@ def window_spec(
     shift: int,
     cols: Sequence[str],
     keys: Sequence[str],
-    order: Sequence[str],
-    slot: Column,
+    along: Along,
     label_columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Inputs = the first ``input_width`` rows, labels = the last ``label_width`` of ``input_width + shift``."""
     total = input_width + shift
-    runs = _windows(df, total, cols, keys, order, slot, 1)
+    runs = _windows(df, total, cols, keys, along)
     chosen = list(label_columns or cols)
     labels = F.transform(
         F.slice("seq", total - label_width + 1, label_width), lambda r: F.struct(*[r[c].alias(c) for c in chosen])
@@ -96,11 +92,10 @@ def deterministic_future_sequences(
     cols: Sequence[str],
     n_deterministic: int,
     keys: Sequence[str],
-    order: Sequence[str],
-    slot: Column,
+    along: Along,
 ) -> DataFrame:
     """Past rows with all columns, future rows with the last ``n_deterministic`` columns, label = first column."""
-    runs = _windows(df, window + forecast, cols, keys, order, slot, 1)
+    runs = _windows(df, window + forecast, cols, keys, along)
     known = list(cols)[-n_deterministic:]
     ahead = F.slice("seq", window + 1, forecast)
     return runs.withColumns(
@@ -113,10 +108,10 @@ def deterministic_future_sequences(
 
 
 def block_batches(
-    df: DataFrame, w: int, cols: Sequence[str], label: str, keys: Sequence[str], order: Sequence[str], slot: Column
+    df: DataFrame, w: int, cols: Sequence[str], label: str, keys: Sequence[str], along: Along
 ) -> DataFrame:
     """Disjoint blocks of ``w + 1`` rows: x = the first ``w``, y = the label of the last (L13); no partial block."""
-    numbered = row_numbers(df, keys, order, slot, "_rn").withColumn("batch", F.floor((F.col("_rn") - 1) / F.lit(w + 1)))
+    numbered = row_numbers(df, keys, along, "_rn").withColumn("batch", F.floor((F.col("_rn") - 1) / F.lit(w + 1)))
     rows = F.array_sort(F.collect_list(F.struct("_rn", *dict.fromkeys([*cols, label]))))
     return (
         numbered.groupBy(*keys, "batch")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ridership.operators.basic import between_dates
 from ridership.operators.enrich import concat
-from ridership.operators.ordered import row_numbers, top_k
+from ridership.operators.ordered import PIECE_ROWS, Along, row_numbers, top_k
 
 
 def date_split(df: DataFrame, ranges: dict[str, tuple[str, str]], col: str = "transit_date", closed: str = "both") -> dict[str, DataFrame]:
@@ -24,26 +24,34 @@ def _hash(keys: Sequence[str], seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
 
 
-def _class_rank(df: DataFrame, y: str, keys: Sequence[str], seed: int) -> DataFrame:
-    """Shuffled row number within a class. A class may hold most rows, so the order is cut by the high hash bits."""
+def _class_rank(df: DataFrame, y: str, keys: Sequence[str], seed: int, piece_rows: int) -> DataFrame:
+    """Shuffled row number within a class, which may hold most rows."""
     hashed = df.withColumn("_h", _hash(keys, seed))
-    return row_numbers(hashed, [y], ["_h", *keys], F.shiftright("_h", 52), "_rank").drop("_h")
+    return row_numbers(hashed, [y], Along(["_h", *keys], F.col("_h"), piece_rows), "_rank").drop("_h")
 
 
-def stratified_kfold(df: DataFrame, y: str, keys: Sequence[str], k: int, seed: int = 100) -> DataFrame:
+def stratified_kfold(
+    df: DataFrame, y: str, keys: Sequence[str], k: int, seed: int = 100, piece_rows: int = PIECE_ROWS
+) -> DataFrame:
     """Shuffled folds 0..k-1 with equal class shares (L2); ``keys`` identify a row."""
-    ranked = _class_rank(df, y, keys, seed)
+    ranked = _class_rank(df, y, keys, seed, piece_rows)
     return ranked.withColumn("kfold", ((F.col("_rank") - 1) % F.lit(k)).cast("int")).drop("_rank")
 
 
 def stratified_shuffle(
-    df: DataFrame, y: str, keys: Sequence[str], n_splits: int, test_frac: float = 0.3, seed: int = 100
+    df: DataFrame,
+    y: str,
+    keys: Sequence[str],
+    n_splits: int,
+    test_frac: float = 0.3,
+    seed: int = 100,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Repeated splits with equal class shares (L3): ``split`` 0..n-1 and ``is_test``."""
     sizes = df.groupBy(y).agg(F.count(F.lit(1)).alias("_size"))
     parts = []
     for i in range(n_splits):
-        ranked = _class_rank(df, y, keys, seed + i).join(sizes, y)
+        ranked = _class_rank(df, y, keys, seed + i, piece_rows).join(sizes, y)
         test = F.col("_rank") <= F.round(F.col("_size") * F.lit(test_frac))
         parts.append(ranked.withColumns({"split": F.lit(i), "is_test": test}).drop("_rank", "_size"))
     return concat(*parts)

@@ -11,7 +11,9 @@ from ridership.functions.times import window_start_ts
 from ridership.operators import enrich
 from ridership.operators.basic import between_dates, drop_nonfinite, same_weekday
 from ridership.operators.features import past_features
+from ridership.operators.ordered import Along
 from ridership.plans.feature_store import trip_level
+from ridership.session import stage
 
 KEYS = ("route_id_direction", "time_window")
 
@@ -50,7 +52,8 @@ def _complete(
         }
     )
     gaps = [c for c in rows.columns if c not in (*KEYS, "transit_date", "arrival_time")]
-    return enrich.backfill(rows, [], list(KEYS), F.col("route_id_direction"), gaps)
+    # a row per route and window at most: one piece
+    return enrich.backfill(stage(rows, "prediction_rows"), [], Along(KEYS, F.lit(0)), gaps)
 
 
 def any_day_input(
@@ -93,6 +96,7 @@ def day_ahead_input(
     ``scope='global'`` runs the features over all trips in time order, ``route`` within each route direction.
     """
     trips = trip_level(between_dates(stops, "transit_date", day - timedelta(days_behind), day - timedelta(1)))
+    trips = stage(trips, "past_trips")
     past = drop_nonfinite(past_features(trips, past_trips, target, scope).na.drop(), "load_pct_change")
     peaks = ["load_pct_change", "act_headway_pct_change", "avg_past_act_headway", "avg_past_trips_loads"]
     windows = past.groupBy(*KEYS).agg(*[F.max(c).alias(c) for c in ["scheduled_headway", *peaks]])

@@ -4,9 +4,10 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ridership.functions.times import calendar_parts, day_slot
+from ridership.functions.times import calendar_parts, day_number
 from ridership.operators import enrich
 from ridership.operators.basic import route_direction_key
+from ridership.operators.ordered import Along
 from ridership.registry.base import EV, HOURLY, ROUTE, d, query, r
 from ridership.sources.bindings import bind
 
@@ -101,8 +102,9 @@ def _(spark, sf):
         trips_of(spark, sf),
         bind(spark, sf, "trip_speed"),
         "backfill",
-        order=["block_abbr", "arrival_time", "trip_id"],
-        slot=F.struct("block_abbr", day_slot("arrival_time")),
+        along=Along(
+            ["block_abbr", "arrival_time", "trip_id"], F.col("block_abbr") * 1_000_000 + day_number("arrival_time"), 100
+        ),
     )
     return out.select(*_SPEED_COLS)
 

@@ -3,14 +3,16 @@
 from pyspark.sql import functions as F
 
 from ridership.functions import bins
-from ridership.functions.times import calendar_parts, day_slot, hour_slot
+from ridership.functions.times import calendar_parts, epoch_micros
 from ridership.operators import baseline, enrich, features, ordered, quantiles
 from ridership.operators.basic import route_direction_key
+from ridership.operators.ordered import Along
 from ridership.registry.base import EV, TRIPS, d, query, r, window
 from ridership.registry.rollups import stored_trips
 from ridership.sources.bindings import bind
 
 NEEDS = "stop_events weather_raw"
+CUT = 50  # rows above which a group is cut into pieces here, so that the checks cover the cut groups too
 _ORDER = "ORDER BY transit_date, arrival_time, route_id_direction, block_abbr, trip_id"
 _PART = {"route": "PARTITION BY route_id_direction", "global": ""}
 
@@ -48,7 +50,7 @@ def _register_scope(scope: str) -> None:
     )
     def _(spark, sf):
         out = features.lag_and_pct_change(
-            stored_trips(spark, sf), {"y_reg100": PAST[0], "actual_headways": PAST[1]}, scope
+            stored_trips(spark, sf), {"y_reg100": PAST[0], "actual_headways": PAST[1]}, scope, features.trip_order(CUT)
         )
         return out.select("transit_date", "trip_id", *PAST[:2])
 
@@ -59,7 +61,7 @@ def _register_scope(scope: str) -> None:
     )
     def _(spark, sf):
         out = features.rolling_lower_quantile(
-            stored_trips(spark, sf), {"actual_headways": PAST[2], "y_reg100": PAST[3]}, 5, 0.95, scope
+            stored_trips(spark, sf), {"actual_headways": PAST[2], "y_reg100": PAST[3]}, 5, 0.95, scope, features.trip_order(CUT)
         )
         return out.select("transit_date", "trip_id", *PAST[2:])
 
@@ -108,8 +110,7 @@ def _(spark, sf):
     out = enrich.backfill(
         bind(spark, sf, "stop_events"),
         ["route_id"],
-        ["scheduled_time", "event_id"],
-        hour_slot("scheduled_time"),
+        Along(["scheduled_time", "event_id"], epoch_micros("scheduled_time"), CUT),
         ["load", "arrival_time"],
     )
     return out.select("event_id", "load", "arrival_time")
@@ -265,7 +266,7 @@ def _keyed_stops(spark, sf):
 )
 def _(spark, sf):
     return baseline.recent_stop_max_mean(
-        _keyed_stops(spark, sf), ["event_id"], day_slot("transit_date"), k=3, keys=_STOP_KEY
+        _keyed_stops(spark, sf), ["event_id"], k=3, keys=_STOP_KEY, piece_rows=10
     )
 
 
@@ -279,7 +280,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return baseline.recent_stop_max_mean(
-        _keyed_stops(spark, sf), ["event_id"], day_slot("transit_date"), keys=_STOP_KEY, compat=True
+        _keyed_stops(spark, sf), ["event_id"], keys=_STOP_KEY, compat=True
     )
 
 
@@ -293,8 +294,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     ev = bind(spark, sf, "stop_events").withColumn("y_class", bins.assign_class("load", bins.LOAD_CLASSES))
-    slot = F.floor(F.col("stop_sequence") / F.lit(1000))
-    return baseline.rolling_max_class(ev, 5, ["trip_id"], ["stop_sequence"], slot).select("event_id", "y_pred_roll")
+    along = Along(["stop_sequence"], F.col("stop_sequence"), CUT)
+    return baseline.rolling_max_class(ev, 5, ["trip_id"], along).select("event_id", "y_pred_roll")
 
 
 def _report(tags: dict[int, int]) -> str:

@@ -34,7 +34,7 @@ def _(spark, sf):
 
 @query("e4_scheduled_headway", "stop_events", f"{_HEADWAYS} SELECT event_id, sched_hdwy FROM headways")
 def _(spark, sf):
-    return headway.scheduled_headway(bind(spark, sf, "stop_events"), ["event_id"]).select("event_id", "sched_hdwy")
+    return headway.scheduled_headway(bind(spark, sf, "stop_events"), ["event_id"], piece_rows=3).select("event_id", "sched_hdwy")
 
 
 @query("e5_actual_headway", "stop_events", f"{_HEADWAYS} SELECT event_id, actual_hdwy FROM headways")
@@ -65,7 +65,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     ev = bind(spark, sf, "stop_events").filter("arrival_time IS NOT NULL")
-    out = headway.time_to_next(ev, ["route_id", "route_direction_name", "block_abbr"], "arrival_time", ["event_id"])
+    out = headway.time_to_next(ev, ["route_id", "route_direction_name", "block_abbr"], "arrival_time", ["event_id"], piece_rows=20)
     return out.select("event_id", "time_to_next_stop")
 
 
@@ -80,7 +80,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     ev = bind(spark, sf, "stop_events").filter("load IS NOT NULL")
-    return headway.derived_load(ev, tie=["event_id"]).select("event_id", "derived_load")
+    return headway.derived_load(ev, tie=["event_id"], piece_rows=3).select("event_id", "derived_load")
 
 
 _WINDOWS = (15, 30, 40, 50, 60, 120)

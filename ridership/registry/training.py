@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ridership.functions.times import hour_slot
+from ridership.functions.times import epoch_micros
 from ridership.operators import encode, metrics, sequence, split
 from ridership.operators.basic import route_direction_key
+from ridership.operators.ordered import Along
 from ridership.registry.base import EV, d, query, r
 from ridership.registry.enrichment import MATCHED, matched
 from ridership.registry.rollups import CLASSED, classed
@@ -43,7 +44,7 @@ _K = 5
     FROM sizes, generate_series(0, {_K - 1}) g(f) WHERE n // {_K} + CASE WHEN f < n % {_K} THEN 1 ELSE 0 END > 0""",
 )
 def _(spark, sf):
-    folds = split.stratified_kfold(classed(spark, sf), "y_true", ["trip_id", "stop_sequence", "transit_date"], _K)
+    folds = split.stratified_kfold(classed(spark, sf), "y_true", ["trip_id", "stop_sequence", "transit_date"], _K, piece_rows=1000)
     return folds.groupBy("y_true", "kfold").agg(F.count("*").alias("n"))
 
 
@@ -139,7 +140,8 @@ def _(spark, sf):
 
 
 _W = "(PARTITION BY block_abbr ORDER BY scheduled_time, event_id)"
-_SEQ = {"cols": ["event_id", "load"], "keys": ["block_abbr"], "order": ["scheduled_time", "event_id"]}
+_SEQ = {"cols": ["event_id", "load"], "keys": ["block_abbr"]}
+_CUT = 100  # rows above which a group is cut into pieces here, so that the checks cover the cut groups too
 
 
 def _over(n: int, m: int) -> str:
@@ -161,7 +163,8 @@ def _list(expr: str, frame: str) -> str:
 
 
 def _sequence_rows(spark, sf):
-    return bind(spark, sf, "stop_events"), hour_slot("scheduled_time")
+    along = Along(["scheduled_time", "event_id"], epoch_micros("scheduled_time"), _CUT)
+    return bind(spark, sf, "stop_events"), along
 
 
 @query(
@@ -172,8 +175,8 @@ def _sequence_rows(spark, sf):
     FROM stop_events WINDOW w AS {_W} QUALIFY row_number() OVER w >= 7""",
 )
 def _(spark, sf):
-    ev, slot = _sequence_rows(spark, sf)
-    out = sequence.sliding_sequences(ev, 5, 2, label="load", slot=slot, **_SEQ)
+    ev, along = _sequence_rows(spark, sf)
+    out = sequence.sliding_sequences(ev, 5, 2, label="load", along=along, **_SEQ)
     return out.select(
         "event_id",
         F.get("x", F.lit(0))["event_id"].alias("x_first"),
@@ -190,8 +193,8 @@ def _(spark, sf):
     QUALIFY row_number() OVER w >= 7 AND (row_number() OVER w - 7) % 3 = 0""",
 )
 def _(spark, sf):
-    ev, slot = _sequence_rows(spark, sf)
-    out = sequence.sliding_sequences(ev, 5, 2, label="load", slot=slot, step=3, **_SEQ)
+    ev, along = _sequence_rows(spark, sf)
+    out = sequence.sliding_sequences(ev, 5, 2, label="load", along=along, step=3, **_SEQ)
     return out.select("event_id", F.get("x", F.lit(0))["event_id"].alias("x_first"))
 
 
@@ -204,8 +207,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     # 4 past rows, a gap of 2, 2 labels: runs of 8 rows
-    ev, slot = _sequence_rows(spark, sf)
-    out = sequence.encoder_decoder_sequences(ev, 4, 2, label="load", slot=slot, offset=2, **_SEQ)
+    ev, along = _sequence_rows(spark, sf)
+    out = sequence.encoder_decoder_sequences(ev, 4, 2, label="load", along=along, offset=2, **_SEQ)
     return out.select(
         "event_id",
         F.get("x", F.lit(0))["event_id"].alias("x_first"),
@@ -222,8 +225,8 @@ def _(spark, sf):
       {_list('load', _over(1, 0))} AS labels FROM stop_events WINDOW w AS {_W} QUALIFY row_number() OVER w >= 9""",
 )
 def _(spark, sf):
-    ev, slot = _sequence_rows(spark, sf)
-    out = sequence.window_spec(ev, 6, 2, 3, slot=slot, label_columns=["load"], **_SEQ)
+    ev, along = _sequence_rows(spark, sf)
+    out = sequence.window_spec(ev, 6, 2, 3, along=along, label_columns=["load"], **_SEQ)
     return out.select(
         "event_id",
         F.get("inputs", F.lit(0))["event_id"].alias("in_first"),
@@ -239,9 +242,9 @@ def _(spark, sf):
       {_list('load', _over(1, 0))} AS y FROM stop_events WINDOW w AS {_W} QUALIFY row_number() OVER w >= 7""",
 )
 def _(spark, sf):
-    ev, slot = _sequence_rows(spark, sf)
+    ev, along = _sequence_rows(spark, sf)
     out = sequence.deterministic_future_sequences(
-        ev, 5, 2, ["load", "event_id", "ons"], 1, _SEQ["keys"], _SEQ["order"], slot
+        ev, 5, 2, ["load", "event_id", "ons"], 1, _SEQ["keys"], along
     )
     return out.select(
         "event_id",
@@ -260,8 +263,8 @@ def _(spark, sf):
     FROM n GROUP BY block_abbr, rn // 6 HAVING count(*) = 6""",
 )
 def _(spark, sf):
-    ev, slot = _sequence_rows(spark, sf)
-    out = sequence.block_batches(ev, 5, label="load", slot=slot, **_SEQ)
+    ev, along = _sequence_rows(spark, sf)
+    out = sequence.block_batches(ev, 5, label="load", along=along, **_SEQ)
     return out.select(
         "block_abbr", "batch", F.get("x", F.lit(0))["event_id"].alias("x_first"), _total("x", "load").alias("x_load"), "y"
     )
