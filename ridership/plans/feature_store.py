@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from ridership.functions.times import calendar_parts, delay_seconds, dwell_seconds
 from ridership.operators import clean, enrich, features, headway, rollup
+from ridership.session import stage
 
 WEATHER_VALUES = ("temperature", "humidity", "precipitation_intensity")
 
@@ -29,10 +30,14 @@ def stop_level(
 def preprocess(
     events: DataFrame, weather: DataFrame, gtfs: DataFrame, weather_time: str = "time", compat: bool = False
 ) -> DataFrame:
-    """The feature store: bad and short trips dropped, weather, schedule version, scheduled trip counts, headways."""
+    """The feature store: bad and short trips dropped, weather, schedule version, scheduled trip counts, headways.
+
+    The cleaned events and the stop level are stored on the way, as several steps read them.
+    """
     kept = clean.drop_groups_with_any(events, clean.TRIP, clean.any_null("ons", "offs", "load"))
-    kept = clean.drop_short_groups(kept)
-    out = enrich.gtfs_version_in_force(stop_level(kept, weather, weather_time=weather_time), gtfs)
+    kept = stage(clean.drop_short_groups(kept), "kept_events")
+    stops = stage(stop_level(kept, weather, weather_time=weather_time), "stop_level")
+    out = enrich.gtfs_version_in_force(stops, gtfs)
     out = enrich.join_scheduled_trips(out, enrich.scheduled_trips_per_route_hour(gtfs, compat))
     return enrich.join_scheduled_trips(out, enrich.scheduled_trips_per_stop_hour(gtfs, compat))
 

@@ -5,6 +5,7 @@ from ridership.registry import (  # noqa: F401  (importing a module registers it
     disruptions,
     enrichment,
     features,
+    flows,
     geo,
     models,
     rollups,

@@ -138,7 +138,7 @@ def _(spark, sf):
     return enrich.weather_for_date(hourly(spark, sf), date(2024, 3, 1), date(2024, 1, 28))
 
 
-_VERSIONS = """
+VERSIONS = """
 , versions AS (SELECT DISTINCT trip_id, feed_date, route_id AS gtfs_route_id, direction_id AS gtfs_direction_id
     FROM gtfs_trips)
 , dated AS (SELECT e.*, v.feed_date AS gtfs_date, v.gtfs_route_id, v.gtfs_direction_id FROM ev e
@@ -148,7 +148,7 @@ _VERSIONS = """
 @query(
     "d8_gtfs_version_in_force",
     "stop_events gtfs_trips",
-    f"""{EV}{_VERSIONS} SELECT event_id, {d('transit_date')}, trip_id, {d('gtfs_date')}, gtfs_route_id,
+    f"""{EV}{VERSIONS} SELECT event_id, {d('transit_date')}, trip_id, {d('gtfs_date')}, gtfs_route_id,
       gtfs_direction_id FROM dated""",
 )
 def _(spark, sf):
@@ -166,23 +166,23 @@ def _flags(compat: bool) -> str:
     return "\n, weekdays AS (" + "\n  UNION ALL ".join(parts) + ")"
 
 
-def _scheduled(name: str, extra: str, compat: bool) -> str:
+def scheduled(name: str, extra: str, compat: bool) -> str:
     hour = "CAST(split_part(arrival_time, ':', 1) AS INTEGER)" + ("" if compat else " % 24")
     return f"""{_flags(compat)}
 , scheduled AS (SELECT feed_date AS gtfs_date, dayofweek, {hour} AS hour, route_id AS gtfs_route_id,
     direction_id AS gtfs_direction_id{extra}, count(trip_id) AS {name} FROM weekdays GROUP BY ALL)"""
 
 
-_N, _N_STOP = "gtfs_number_of_scheduled_trips", "gtfs_number_of_scheduled_trips_at_stop"
+N, N_STOP = "gtfs_number_of_scheduled_trips", "gtfs_number_of_scheduled_trips_at_stop"
 _SCHED_COLS = f"{d('gtfs_date')}, dayofweek, hour, gtfs_route_id, gtfs_direction_id"
 
 
-@query("d9_scheduled_trips_per_route_hour", "gtfs_trips", f"{_scheduled(_N, '', False)} SELECT {_SCHED_COLS}, {_N} FROM scheduled")
+@query("d9_scheduled_trips_per_route_hour", "gtfs_trips", f"{scheduled(N, '', False)} SELECT {_SCHED_COLS}, {N} FROM scheduled")
 def _(spark, sf):
     return enrich.scheduled_trips_per_route_hour(bind(spark, sf, "gtfs_trips"))
 
 
-@query("d9_scheduled_trips_compat", "gtfs_trips", f"{_scheduled(_N, '', True)} SELECT {_SCHED_COLS}, {_N} FROM scheduled")
+@query("d9_scheduled_trips_compat", "gtfs_trips", f"{scheduled(N, '', True)} SELECT {_SCHED_COLS}, {N} FROM scheduled")
 def _(spark, sf):
     return enrich.scheduled_trips_per_route_hour(bind(spark, sf, "gtfs_trips"), compat=True)
 
@@ -190,19 +190,19 @@ def _(spark, sf):
 @query(
     "d9_join_scheduled_trips",
     "stop_events gtfs_trips",
-    f"""{EV}{_VERSIONS}{_scheduled(_N, '', False)} SELECT event_id, {_N} FROM dated LEFT JOIN scheduled
+    f"""{EV}{VERSIONS}{scheduled(N, '', False)} SELECT event_id, {N} FROM dated LEFT JOIN scheduled
     USING (gtfs_date, dayofweek, hour, gtfs_route_id, gtfs_direction_id)""",
 )
 def _(spark, sf):
     ev, gtfs = bind(spark, sf, "stop_events", "gtfs_trips")
     dated = enrich.gtfs_version_in_force(calendar_parts(ev), gtfs)
-    return enrich.join_scheduled_trips(dated, enrich.scheduled_trips_per_route_hour(gtfs)).select("event_id", _N)
+    return enrich.join_scheduled_trips(dated, enrich.scheduled_trips_per_route_hour(gtfs)).select("event_id", N)
 
 
 @query(
     "d10_scheduled_trips_per_stop_hour",
     "gtfs_trips",
-    f"{_scheduled(_N_STOP, ', stop_id', False)} SELECT {_SCHED_COLS}, stop_id, {_N_STOP} FROM scheduled",
+    f"{scheduled(N_STOP, ', stop_id', False)} SELECT {_SCHED_COLS}, stop_id, {N_STOP} FROM scheduled",
 )
 def _(spark, sf):
     return enrich.scheduled_trips_per_stop_hour(bind(spark, sf, "gtfs_trips"))

@@ -35,9 +35,15 @@ def rows_of(columns, rows) -> tuple[list[str], Counter]:
     return [columns[i] for i in order], Counter(tuple(cell(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, con, sf_dir, query, sql) -> str | None:
-    """None if equal, else what differs."""
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def compare(spark, con, sf_dir, query, sql, check=None) -> str | None:
+    """None if equal, else what differs; ``check`` sees the DataFrame first."""
     df = query(spark, sf_dir)
+    if check:
+        check(df)
     got_cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     res = con.execute(sql)
     want_cols, want = rows_of([c[0] for c in res.description], res.fetchall())
