@@ -8,7 +8,7 @@ from ridership.functions.times import calendar_parts, day_number
 from ridership.operators import enrich
 from ridership.operators.basic import route_direction_key
 from ridership.operators.ordered import Along
-from ridership.registry.base import EV, HOURLY, ROUTE, d, query, r
+from ridership.registry.base import EV, HOURLY, ROUTE, d, piece_rows, query, r
 from ridership.sources.bindings import bind
 
 VALUES = ("temperature", "humidity", "precipitation_intensity")
@@ -98,12 +98,13 @@ def _(spark, sf):
         ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)''', 'traffic_speed')} FROM joined""",
 )
 def _(spark, sf):
+    trips, speed = trips_of(spark, sf), bind(spark, sf, "trip_speed")
     out = enrich.join_trip_speed(
-        trips_of(spark, sf),
-        bind(spark, sf, "trip_speed"),
+        trips,
+        speed,
         "backfill",
         along=Along(
-            ["block_abbr", "arrival_time", "trip_id"], F.col("block_abbr") * 1_000_000 + day_number("arrival_time"), 100
+            ["block_abbr", "arrival_time", "trip_id"], F.col("block_abbr") * 1_000_000 + day_number("arrival_time"), piece_rows(spark)
         ),
     )
     return out.select(*_SPEED_COLS)

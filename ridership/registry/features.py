@@ -7,12 +7,11 @@ from ridership.functions.times import calendar_parts, epoch_micros
 from ridership.operators import baseline, enrich, features, ordered, quantiles
 from ridership.operators.basic import route_direction_key
 from ridership.operators.ordered import Along
-from ridership.registry.base import EV, TRIPS, d, query, r, window
+from ridership.registry.base import EV, TRIPS, d, piece_rows, query, r, window
 from ridership.registry.rollups import stored_trips
 from ridership.sources.bindings import bind
 
 NEEDS = "stop_events weather_raw"
-CUT = 50  # rows above which a group is cut into pieces here, so that the checks cover the cut groups too
 _ORDER = "ORDER BY transit_date, arrival_time, route_id_direction, block_abbr, trip_id"
 _PART = {"route": "PARTITION BY route_id_direction", "global": ""}
 
@@ -49,8 +48,9 @@ def _register_scope(scope: str) -> None:
         f"{TRIPS}{past_features(scope, 5)} SELECT {_KEY}, {r(PAST[0], PAST[0])}, {r(PAST[1], PAST[1])} FROM past",
     )
     def _(spark, sf):
+        trips = stored_trips(spark, sf)
         out = features.lag_and_pct_change(
-            stored_trips(spark, sf), {"y_reg100": PAST[0], "actual_headways": PAST[1]}, scope, features.trip_order(CUT)
+            trips, {"y_reg100": PAST[0], "actual_headways": PAST[1]}, scope, features.trip_order(piece_rows(spark))
         )
         return out.select("transit_date", "trip_id", *PAST[:2])
 
@@ -60,9 +60,8 @@ def _register_scope(scope: str) -> None:
         f"{TRIPS}{past_features(scope, 5)} SELECT {_KEY}, {r(PAST[2], PAST[2])}, {r(PAST[3], PAST[3])} FROM past",
     )
     def _(spark, sf):
-        out = features.rolling_lower_quantile(
-            stored_trips(spark, sf), {"actual_headways": PAST[2], "y_reg100": PAST[3]}, 5, 0.95, scope, features.trip_order(CUT)
-        )
+        trips, cols = stored_trips(spark, sf), {"actual_headways": PAST[2], "y_reg100": PAST[3]}
+        out = features.rolling_lower_quantile(trips, cols, 5, 0.95, scope, features.trip_order(piece_rows(spark)))
         return out.select("transit_date", "trip_id", *PAST[2:])
 
     @query(
@@ -107,12 +106,9 @@ def _(spark, sf):
     WINDOW w AS (PARTITION BY route_id ORDER BY scheduled_time, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
 )
 def _(spark, sf):
-    out = enrich.backfill(
-        bind(spark, sf, "stop_events"),
-        ["route_id"],
-        Along(["scheduled_time", "event_id"], epoch_micros("scheduled_time"), CUT),
-        ["load", "arrival_time"],
-    )
+    ev = bind(spark, sf, "stop_events")
+    along = Along(["scheduled_time", "event_id"], epoch_micros("scheduled_time"), piece_rows(spark))
+    out = enrich.backfill(ev, ["route_id"], along, ["load", "arrival_time"])
     return out.select("event_id", "load", "arrival_time")
 
 
@@ -265,9 +261,8 @@ def _keyed_stops(spark, sf):
     SELECT {', '.join(_STOP_KEY)}, {d('transit_date')}, {_RECENT} FROM agg""",
 )
 def _(spark, sf):
-    return baseline.recent_stop_max_mean(
-        _keyed_stops(spark, sf), ["event_id"], k=3, keys=_STOP_KEY, piece_rows=10
-    )
+    ev = _keyed_stops(spark, sf)
+    return baseline.recent_stop_max_mean(ev, ["event_id"], k=3, keys=_STOP_KEY, piece_rows=piece_rows(spark))
 
 
 @query(
@@ -294,7 +289,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     ev = bind(spark, sf, "stop_events").withColumn("y_class", bins.assign_class("load", bins.LOAD_CLASSES))
-    along = Along(["stop_sequence"], F.col("stop_sequence"), CUT)
+    along = Along(["stop_sequence"], F.col("stop_sequence"), piece_rows(spark))
     return baseline.rolling_max_class(ev, 5, ["trip_id"], along).select("event_id", "y_pred_roll")
 
 

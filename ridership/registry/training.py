@@ -6,7 +6,7 @@ from ridership.functions.times import epoch_micros
 from ridership.operators import encode, metrics, sequence, split
 from ridership.operators.basic import route_direction_key
 from ridership.operators.ordered import Along
-from ridership.registry.base import EV, d, query, r
+from ridership.registry.base import EV, d, piece_rows, query, r
 from ridership.registry.enrichment import MATCHED, matched
 from ridership.registry.rollups import CLASSED, classed
 from ridership.sources.bindings import bind
@@ -44,7 +44,8 @@ _K = 5
     FROM sizes, generate_series(0, {_K - 1}) g(f) WHERE n // {_K} + CASE WHEN f < n % {_K} THEN 1 ELSE 0 END > 0""",
 )
 def _(spark, sf):
-    folds = split.stratified_kfold(classed(spark, sf), "y_true", ["trip_id", "stop_sequence", "transit_date"], _K, piece_rows=1000)
+    rows, keys = classed(spark, sf), ["trip_id", "stop_sequence", "transit_date"]
+    folds = split.stratified_kfold(rows, "y_true", keys, _K, piece_rows=piece_rows(spark) * 40)
     return folds.groupBy("y_true", "kfold").agg(F.count("*").alias("n"))
 
 
@@ -141,7 +142,6 @@ def _(spark, sf):
 
 _W = "(PARTITION BY block_abbr ORDER BY scheduled_time, event_id)"
 _SEQ = {"cols": ["event_id", "load"], "keys": ["block_abbr"]}
-_CUT = 100  # rows above which a group is cut into pieces here, so that the checks cover the cut groups too
 
 
 def _over(n: int, m: int) -> str:
@@ -163,8 +163,8 @@ def _list(expr: str, frame: str) -> str:
 
 
 def _sequence_rows(spark, sf):
-    along = Along(["scheduled_time", "event_id"], epoch_micros("scheduled_time"), _CUT)
-    return bind(spark, sf, "stop_events"), along
+    ev = bind(spark, sf, "stop_events")
+    return ev, Along(["scheduled_time", "event_id"], epoch_micros("scheduled_time"), piece_rows(spark))
 
 
 @query(
