@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +16,52 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-
-def shown(df: DataFrame) -> DataFrame:
+# Whole-number columns that hold NULL. Data frames made from the two engines keep such columns in different types, so
+# both sides show them as doubles.
+NULL_NUMBERS: dict[str, str] = {
+    "b11_exclude_values": "vehicle_id",
+    "b1_select_rename": "apc_load",
+    "b4_drop_nulls": "vehicle_id",
+    "b6_clip": "load",
+    "c11_dedup_keep_first": "load",
+    "d11_match_on_keys": "apc_load load",
+    "d15_full_outer_suffix": "event_id_next event_id_prev load_next load_prev",
+    "d16_concat": "load ons",
+    "d2_join_weather": "hour",
+    "d8_gtfs_version_in_force": "gtfs_direction_id gtfs_route_id",
+    "d9_join_scheduled_trips": "gtfs_number_of_scheduled_trips",
+    "e1_calendar_parts": "hour",
+    "e2_e3_delay_and_dwell": "delay_time dwell_time",
+    "e4_scheduled_headway": "sched_hdwy",
+    "e5_actual_headway": "actual_hdwy",
+    "e9_time_window": "w120 w15 w30 w40 w50 w60",
+    "f10_value_counts": "load",
+    "f16_last_in_order": "arrival_time load",
+    "f1_trip_rollup": "arrival_time hour",
+    "f3_stop_window_rollup": "sched_hdwy",
+    "f5_trip_max_load": "load vehicle_id",
+    "feature_store": "actual_hdwy delay_time dwell_time gtfs_number_of_scheduled_trips gtfs_number_of_scheduled_trips_at_stop sched_hdwy",
+    "g5_backfill": "arrival_time",
+    "g6_sort_by": "load",
+    "g7_top_k_per_group": "load",
+    "h3_assign_class": "y_class",
+    "h4_adjust_bins": "y_class",
+    "i10_next_trips_after": "next_trip this_trip",
+    "i11_decode_status": "merged_status",
+    "i2_asof_backward": "arrival_time overload_id stop_sequence trip_id vehicle_id",
+    "i2_asof_tolerance_2h": "trip_id",
+    "i3_asof_forward": "arrival_time overload_id stop_sequence trip_id vehicle_id",
+    "i4_match_disruptions": "arrival_time_next arrival_time_prev trip_id_next trip_id_prev",
+    "i8_null_run_status": "status",
+    "k2_recent_stop_compat": "y_pred_max y_pred_mean",
+    "k2_recent_stop_max_mean": "max_load y_pred_max y_pred_mean",
+    "l13_block_batches": "y",
+    "n10_count_discrepancy": "load_diff",
+    "n9_class_counts": "y_pred",
+}
+
+
+def shown(df: DataFrame, doubles: Collection[str] = ()) -> DataFrame:
     """Plain comparable columns: dates as text, timestamps as epoch microseconds, flags as 0/1, doubles to 6 places."""
     cols = []
     for f in df.schema.fields:
@@ -30,7 +74,7 @@ def shown(df: DataFrame) -> DataFrame:
             c = c.cast("int")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
             c = F.round(c.cast("double"), 6) + F.lit(0.0).cast("double")
-        cols.append(c.alias(f.name))
+        cols.append((c.cast("double") if f.name in doubles else c).alias(f.name))
     return df.select(*cols)
 
 
@@ -40,10 +84,13 @@ def query(key: str, needs: str = "", sql: str | None = None) -> Callable[[Query]
     def add(fn: Query) -> Query:
         if key in QUERIES:
             raise KeyError(key)
-        QUERIES[key] = lambda spark, sf: shown(fn(spark, sf))
+        doubles = NULL_NUMBERS.get(key, "").split()
+        QUERIES[key] = lambda spark, sf: shown(fn(spark, sf), doubles)
         if sql is not None:
             names = needs.split()
-            ORACLES[key] = with_bindings(names, sql) if names else sql.strip()
+            text = with_bindings(names, sql) if names else sql.strip()
+            casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in doubles)
+            ORACLES[key] = f"SELECT * REPLACE ({casts}) FROM (\n{text}\n)" if casts else text
         return fn
 
     return add

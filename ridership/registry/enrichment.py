@@ -54,10 +54,10 @@ def _(spark, sf):
     "SELECT year(timestamp_local) AS year, month(timestamp_local) AS month, day(timestamp_local) AS day, "
     "hour(timestamp_local) AS hour, "
     + ", ".join(r(f"avg({v})", f"weatherbit_{v}") for v in ("rh", "wind_spd", "app_temp", "temp", "snow", "precip"))
-    + " FROM weather_stations WHERE spatial_id IN ('Berry Hill', 'Belle Meade') GROUP BY ALL",
+    + " FROM weather_stations WHERE spatial_id IN ('north', 'south') GROUP BY ALL",
 )
 def _(spark, sf):
-    return enrich.station_weather(bind(spark, sf, "weather_stations"), ["Berry Hill", "Belle Meade"])
+    return enrich.station_weather(bind(spark, sf, "weather_stations"), ["north", "south"])
 
 
 @query(

@@ -127,7 +127,7 @@ FROM events WHERE event_type = 'click' AND event_id % 17 <> 0 GROUP BY CAST(ts A
 _bind(
     "weather_stations",
     """
-SELECT CASE event_id % 3 WHEN 0 THEN 'Berry Hill' WHEN 1 THEN 'Belle Meade' ELSE 'Antioch' END AS spatial_id,
+SELECT CASE event_id % 3 WHEN 0 THEN 'north' WHEN 1 THEN 'south' ELSE 'east' END AS spatial_id,
   ts AS timestamp_local, CAST(event_id % 90 AS DOUBLE) AS rh, value / 10 AS wind_spd, value AS app_temp,
   value + 1 AS temp, CAST(event_id % 4 AS DOUBLE) AS snow, CAST(event_id % 9 AS DOUBLE) / 9 AS precip
 FROM events WHERE event_type = 'view'
