@@ -25,8 +25,9 @@ NULL_NUMBERS: dict[str, str] = {
     "b6_clip": "load",
     "c11_dedup_keep_first": "load",
     "d11_match_on_keys": "apc_load load",
-    "d15_full_outer_suffix": "event_id_next event_id_prev load_next load_prev",
-    "d16_concat": "load ons",
+    "d13_right_join_valid": "load",
+    "d15_full_outer_suffix": "last_stop_next last_stop_prev",
+    "d16_concat": "load",
     "d2_join_weather": "hour",
     "d8_gtfs_version_in_force": "gtfs_direction_id gtfs_route_id",
     "d9_join_scheduled_trips": "gtfs_number_of_scheduled_trips",

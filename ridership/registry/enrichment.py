@@ -253,18 +253,15 @@ def _(spark, sf):
 
 @query(
     "d13_right_join_valid",
-    "manual_checks",
-    f"""SELECT {d('transit_date')}, trip_id, stop_sequence, manual_load, apc_load FROM (
-      SELECT transit_date, trip_id, stop_sequence, load AS apc_load FROM stop_events WHERE load >= 10) s
-    JOIN (SELECT transit_date, trip_id, stop_sequence, load AS manual_load FROM manual_checks) m
-    USING (transit_date, trip_id, stop_sequence)""",
+    "manual_checks trip_speed",
+    f"""SELECT {d('transit_date')}, trip_id, stop_sequence, load, {r('traffic_speed', 'traffic_speed')}
+    FROM trip_speed JOIN manual_checks USING (transit_date, trip_id)""",
 )
 def _(spark, sf):
-    checks, ev = bind(spark, sf, "manual_checks", "stop_events")
-    keys = ["transit_date", "trip_id", "stop_sequence"]
-    left = ev.filter("load >= 10").select(*keys, F.col("load").alias("apc_load"))
-    right = checks.select(*keys, F.col("load").alias("manual_load"))
-    return enrich.right_join_valid(left, right, keys, ["apc_load"])
+    speed, checks = bind(spark, sf, "trip_speed", "manual_checks")
+    left = speed.select("transit_date", "trip_id", "traffic_speed")
+    right = checks.select("transit_date", "trip_id", "stop_sequence", "load")
+    return enrich.right_join_valid(left, right, ["transit_date", "trip_id"], ["traffic_speed"])
 
 
 @query(
@@ -283,34 +280,32 @@ def _(spark, sf):
 
 @query(
     "d15_full_outer_suffix",
-    "stop_events",
-    f"""{EV}, a AS (SELECT trip_id, day, max(event_id) AS event_id, max(load) AS load FROM ev WHERE day <= 10 GROUP BY ALL)
-    , b AS (SELECT trip_id, day, max(event_id) AS event_id, max(load) AS load FROM ev WHERE day >= 8 GROUP BY ALL)
-    SELECT coalesce(a.trip_id, b.trip_id) AS trip_id, coalesce(a.day, b.day) AS day,
-      a.event_id AS event_id_prev, a.load AS load_prev, b.event_id AS event_id_next, b.load AS load_next
-    FROM a FULL JOIN b ON a.trip_id = b.trip_id AND a.day = b.day
-    WHERE a.event_id IS NOT NULL OR b.event_id IS NOT NULL""",
+    "manual_checks trip_speed",
+    f""", a AS (SELECT transit_date, trip_id, max(stop_sequence) AS last_stop FROM manual_checks GROUP BY ALL)
+    , b AS (SELECT transit_date, trip_id, max(time_window) AS last_stop FROM trip_speed GROUP BY ALL)
+    SELECT CAST(coalesce(a.transit_date, b.transit_date) AS VARCHAR) AS transit_date, coalesce(a.trip_id, b.trip_id) AS trip_id,
+      a.last_stop AS last_stop_prev, b.last_stop AS last_stop_next
+    FROM a FULL JOIN b ON a.transit_date = b.transit_date AND a.trip_id = b.trip_id""",
 )
 def _(spark, sf):
-    ev = calendar_parts(bind(spark, sf, "stop_events"))
-
-    def part(cond):
-        return ev.filter(cond).groupBy("trip_id", "day").agg(F.max("event_id").alias("event_id"), F.max("load").alias("load"))
-
-    return enrich.full_outer_suffix(part("day <= 10"), part("day >= 8"), ["trip_id", "day"], ["event_id"])
+    checks, speed = bind(spark, sf, "manual_checks", "trip_speed")
+    keys = ["transit_date", "trip_id"]
+    a = checks.groupBy(*keys).agg(F.max("stop_sequence").alias("last_stop"))
+    b = speed.groupBy(*keys).agg(F.max("time_window").alias("last_stop"))
+    return enrich.full_outer_suffix(a, b, keys, ["last_stop"])
 
 
 @query(
     "d16_concat",
-    "stop_events",
-    f"""{EV} SELECT event_id, load, CAST(NULL AS BIGINT) AS ons, 'early' AS model FROM ev WHERE day <= 5
-    UNION ALL SELECT event_id, load, ons, 'late' AS model FROM ev WHERE day > 25""",
+    "manual_checks",
+    """SELECT trip_id, stop_sequence, load, CAST(NULL AS VARCHAR) AS remark, 'automatic' AS source FROM stop_events
+    UNION ALL SELECT trip_id, stop_sequence, load, remark, 'manual' FROM manual_checks""",
 )
 def _(spark, sf):
-    ev = calendar_parts(bind(spark, sf, "stop_events"))
-    early = ev.filter("day <= 5").select("event_id", "load", F.lit("early").alias("model"))
-    late = ev.filter("day > 25").select(F.lit("late").alias("model"), "event_id", "load", "ons")
-    return enrich.concat(early, late)
+    ev, checks = bind(spark, sf, "stop_events", "manual_checks")
+    automatic = ev.select("trip_id", "stop_sequence", "load", F.lit("automatic").alias("source"))
+    manual = checks.select(F.lit("manual").alias("source"), "trip_id", "stop_sequence", "load", "remark")
+    return enrich.concat(automatic, manual)
 
 
 @query(

@@ -141,7 +141,7 @@ def _(spark, sf):
     "a8_sql",
     "stop_events",
     f"""SELECT {d('transit_date')}, trip_id, count(stop_id) AS n, CAST(max(load) AS INTEGER) AS peak
-    FROM stop_events WHERE load >= 5 GROUP BY transit_date, trip_id""",
+    FROM stop_events WHERE load >= 0 GROUP BY transit_date, trip_id""",
 )
 def _(spark, sf):
     return io.sql(
@@ -149,20 +149,19 @@ def _(spark, sf):
         {"apc": bind(spark, sf, "stop_events")},
         """SELECT transit_date, trip_id, count(stop_id) AS n, max(load) AS peak FROM apc
            WHERE load >= :lowest GROUP BY transit_date, trip_id""",
-        {"lowest": 5},
+        {"lowest": 0},
     )
 
 
 @query(
     "a9_from_rows",
     "stop_events",
-    """SELECT CASE stop_id WHEN 'click' THEN 10 WHEN 'view' THEN 20 ELSE 30 END AS zone, count(*) AS n
-    FROM stop_events WHERE stop_id IN ('click', 'view', 'error') GROUP BY ALL""",
+    """SELECT CASE stop_id WHEN 'click' THEN 10 WHEN 'view' THEN 20 WHEN 'error' THEN 30 ELSE 40 END AS zone, count(*) AS n
+    FROM stop_events GROUP BY ALL""",
 )
 def _(spark, sf):
-    zones = io.from_rows(
-        spark, [("click", "10"), ("view", "20"), ("error", "30")], ["stop_id", "zone"], {"zone": "int"}
-    )
+    rows = [("click", "10"), ("view", "20"), ("error", "30"), ("purchase", "40"), ("signup", "40")]
+    zones = io.from_rows(spark, rows, ["stop_id", "zone"], {"zone": "int"})
     return bind(spark, sf, "stop_events").join(zones, "stop_id").groupBy("zone").agg(F.count("*").alias("n"))
 
 
