@@ -57,6 +57,7 @@ def main() -> None:
     spark = get_spark(
         "bench",
         f"local[{cpus}]",
+        spark__driver__memory=os.environ.get("BENCH_MEMORY", "8g"),
         spark__sql__shuffle__partitions=str(2 * cpus),
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridership.functions.times import gtfs_dayofweek, hms_to_hour
-from ridership.operators.basic import route_direction_key
 from ridership.operators.clean import dedup_keep_first
 from ridership.operators.ordered import Along, running_last
 
@@ -223,7 +222,3 @@ def full_outer_suffix(
 def concat(*dfs: DataFrame) -> DataFrame:
     """Union by name; a missing column becomes NULL."""
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), dfs)
-
-
-def with_route_key(df: DataFrame) -> DataFrame:
-    return route_direction_key(df)

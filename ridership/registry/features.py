@@ -161,8 +161,10 @@ def _(spark, sf):
     return quantiles.class_bounds(bind(spark, sf, "stop_events").filter("load <= 100"), "load", kind="linear")
 
 
-_CUT = "CASE WHEN {v} > -1 AND {v} <= {a} THEN 0 WHEN {v} > {b} AND {v} <= {c} THEN 1 WHEN {v} > {e} AND {v} <= 55 THEN 2 " \
-    "WHEN {v} > {f} AND {v} <= 75 THEN 3 WHEN {v} > {g} AND {v} <= 100 THEN 4 ELSE -1 END"
+def _cut(edges) -> str:
+    """Right-closed intervals of the load in the oracle, -1 outside."""
+    tests = " ".join(f"WHEN load > {lo} AND load <= {hi} THEN {i}" for i, (lo, hi) in enumerate(edges))
+    return f"CASE {tests} ELSE -1 END"
 
 
 @query(
@@ -192,7 +194,7 @@ def _(spark, sf):
 @query(
     "h5_interval_cut",
     "stop_events",
-    f"SELECT event_id, {_CUT.format(v='load', a=9, b=9, c=16, e=16, f=55, g=75)} AS y_class FROM stop_events",
+    f"SELECT event_id, {_cut([(-1, 9), (9, 16), (16, 55), (55, 75), (75, 100)])} AS y_class FROM stop_events",
 )
 def _(spark, sf):
     return bind(spark, sf, "stop_events").select("event_id", bins.interval_cut("load").alias("y_class"))
@@ -201,7 +203,7 @@ def _(spark, sf):
 @query(
     "h6_same_day_cut",
     "stop_events",
-    f"SELECT event_id, {_CUT.format(v='load', a=6, b=7, c=12, e=13, f=56, g=76)} AS y_class FROM stop_events",
+    f"SELECT event_id, {_cut([(-1, 6), (7, 12), (13, 55), (56, 75), (76, 100)])} AS y_class FROM stop_events",
 )
 def _(spark, sf):
     return bind(spark, sf, "stop_events").select("event_id", bins.same_day_cut("load").alias("y_class"))
