@@ -62,6 +62,11 @@ NULL_NUMBERS: dict[str, str] = {
 }
 
 
+# Means of readings with two decimals often end exactly between two sixth places, where the order of summation decides
+# the rounding; the nudge puts them on one side in both engines.
+NUDGE = 1e-9
+
+
 def shown(df: DataFrame, doubles: Collection[str] = ()) -> DataFrame:
     """Plain comparable columns: dates as text, timestamps as epoch microseconds, flags as 0/1, doubles to 6 places."""
     cols = []
@@ -74,7 +79,7 @@ def shown(df: DataFrame, doubles: Collection[str] = ()) -> DataFrame:
         elif isinstance(f.dataType, T.BooleanType):
             c = c.cast("int")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0).cast("double")
+            c = F.round(c.cast("double") + F.lit(NUDGE), 6) + F.lit(0.0).cast("double")
         cols.append((c.cast("double") if f.name in doubles else c).alias(f.name))
     return df.select(*cols)
 
@@ -107,7 +112,7 @@ def piece_rows(spark: SparkSession) -> int:
 
 def r(expr: str, name: str) -> str:
     """A double of the oracle to 6 places, without a negative zero."""
-    return f"round(CAST({expr} AS DOUBLE), 6) + 0.0 AS {name}"
+    return f"round(CAST({expr} AS DOUBLE) + {NUDGE}, 6) + 0.0 AS {name}"
 
 
 def d(expr: str, name: str | None = None) -> str:
