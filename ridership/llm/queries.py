@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridership.llm import chat, fingerprints, mixing, packing, quality, sharding, tokens
+from ridership.llm import chat, fingerprints, mixing, ngram_join, packing, quality, sharding, tokens
 from ridership.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,6 +138,25 @@ def _(spark, sf):
     return out.select("doc_id", "mix_domain", "mix_tokens", "mix_epoch")
 
 
+WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
+@query(
+    "op6_ngram_jaccard_join",
+    f"""WITH RECURSIVE w AS (SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents)
+    , s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w)
+    , u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s)
+    , links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*)))
+    , reach(doc_id, other) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+    SELECT s.doc_id, len(s) AS n_shingles, m.component_id FROM s
+      JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)""",
+)
+def _(spark, sf):
+    return ngram_join.jaccard_components(table(spark, sf, "documents")).drop("set_key")
+
+
 @query("op7_sharding")
 def _(spark, sf):
     out = sharding.shard_documents(table(spark, sf, "documents"))
