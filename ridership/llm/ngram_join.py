@@ -326,7 +326,7 @@ def _pair(a: str, b: str) -> list[Column]:
 
 
 def jaccard_components(docs: DataFrame, size: int = SIZE, list_rows: int = LIST_ROWS) -> DataFrame:
-    """One row per document (doc_id, text): doc_id, n_shingles, set_key, component_id."""
+    """One row per document (doc_id, text): doc_id, text_key, n_shingles, component_id."""
     ident, counts = profiles(docs, size)
     home = F.min(F.struct("doc_id", "text_key")).alias("home")
     homes = stage(ident.filter("n > 0").groupBy("set_key").agg(home, F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "homes")
@@ -375,6 +375,6 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, list_rows: int = LIST_
     smallest = rooted.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_set = stage(rooted.join(smallest, "label").select("set_key", "component_id"), "by_set")
     return ident.join(by_set, "set_key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "set_key", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 

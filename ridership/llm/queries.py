@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridership.llm import chat, fingerprints, mixing, ngram_join, packing, quality, sharding, tokens
+from ridership.llm import chat, fingerprints, mixing, ngram_join, packing, quality, sharding, suffix_dedup, tokens
 from ridership.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,7 +154,7 @@ WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcde
       JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)""",
 )
 def _(spark, sf):
-    return ngram_join.jaccard_components(table(spark, sf, "documents")).drop("set_key")
+    return ngram_join.jaccard_components(table(spark, sf, "documents")).drop("text_key")
 
 
 @query("op7_sharding")
@@ -166,3 +166,23 @@ def _(spark, sf):
 @query("op9_quality_classifier")
 def _(spark, sf):
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"), F.col("source"), F.col("lang")).drop("text_key")
+
+
+@query(
+    "op10_suffix_array_dedup",
+    """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents)
+    , n AS (SELECT doc_id, x, len(x) // 2 AS n FROM d)
+    , s AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(n - 49)) AS i FROM n WHERE n >= 50))
+    , hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM s) WHERE first < doc_id)
+    , run AS (SELECT doc_id, i, max(i + 50) OVER w AS reach FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    , spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (
+        SELECT *, sum(CASE WHEN reach >= i THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM run) GROUP BY doc_id, span)
+    , kept AS (SELECT doc_id, n, spans.a, spans.b, coalesce(lag(spans.b) OVER (PARTITION BY doc_id ORDER BY spans.a), 0) AS from_, x FROM n JOIN spans USING (doc_id))
+    , rest AS (SELECT doc_id, any_value(n) AS n, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(x, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a)
+        || substr(any_value(x), 2 * max(b) + 1) AS x FROM kept GROUP BY doc_id)
+    SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+      sha256(unhex(coalesce(rest.x, n.x))) AS kept_sha256 FROM n LEFT JOIN rest USING (doc_id)""",
+)
+def _(spark, sf):
+    lost, _ = suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+    return lost.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
