@@ -1,8 +1,8 @@
 """Quality classifier (operator 9): document evidence combined with what hosts and paths show.
 
 1. Two logistic models, for ``quality`` and for ``toxic``, are fitted on at most ``max_labelled`` labelled documents
-   (those first in a seeded order): hashed words, once per document, and a few measures of style. Each document's
-   whole text is scored; the chance that it is good is P(quality) * (1 - P(toxic)).
+   (those first in a seeded order): hashed words and word stems that
+   tell the classes apart, once per document, and a few measures of style. Each document's whole text is scored; the chance that it is good is P(quality) * (1 - P(toxic)).
 2. Empirical Bayes over all documents: the global rate is the prior of the hosts, a host's posterior the prior of its
    paths. How strongly a site is drawn to its prior comes from the data: the spread of the sites' means beyond what
    their sizes explain (method of moments). Sparse sites stay near their prior. All of it is grouped sums.
@@ -29,18 +29,26 @@ from pyspark.sql import functions as F
 from ridership.llm.text import LOWER, slices, spans_hash, words
 from ridership.session import stage
 
-DIMS = 1 << 16
+DIMS = 1 << 18
 STYLE = 6
+STEMS = (4, 5)  # bytes
+TELLING = 15.0  # likelihood ratio that a word or stem must reach
 MAX_LABELLED = 8_000
 
 
 def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each run of texts: first row, (row, hashed word) of the distinct words, and the style of each row."""
+    """For each run of texts: first row, (row, hash) of the distinct words and stems, and the style of each row."""
     for first, data, off in slices(texts):
         rows = len(off) - 1
         start, end, row = words(data, off)
-        h = spans_hash(LOWER[data], start, end)
-        code = np.unique(row.astype(np.int64) * DIMS + (h % np.uint64(DIMS)).astype(np.int64))
+        lower = LOWER[data]
+        h = spans_hash(lower, start, end)
+        hashes, owners = [h], [row]
+        for n in STEMS:
+            long = np.flatnonzero(end - start > n)
+            hashes.append(spans_hash(lower, start[long], start[long] + n) ^ np.uint64(n))
+            owners.append(row[long])
+        code = np.unique(np.concatenate(owners) * DIMS + (np.concatenate(hashes) % np.uint64(DIMS)).astype(np.int64))
         exact = np.unique(row.astype(np.uint64) << np.uint64(40) | h >> np.uint64(24))
         size = np.maximum(np.diff(off), 1)
         n = np.bincount(row, minlength=rows)
@@ -71,16 +79,30 @@ class Model:
         return np.bincount(row, self.word[dim], minlength=len(style)) + style @ self.style + self.bias
 
 
-def fit(row: np.ndarray, dim: np.ndarray, style: np.ndarray, y: np.ndarray, steps: int = 200, l2: float = 3e-4) -> Model:
-    """Logistic regression by accelerated gradient steps; all-equal labels give the even model."""
+def fit(row: np.ndarray, dim: np.ndarray, style: np.ndarray, y: np.ndarray, steps: int = 300, l2: float = 1e-5) -> Model:
+    """Logistic regression on the measures of style and on the words that tell the classes apart.
+
+    A word counts if its likelihood ratio against the label passes ``TELLING``; accelerated gradient steps start from half
+    its log odds. All-equal labels give the even model.
+    """
     n = len(y)
     model = Model(np.zeros(DIMS), np.zeros(STYLE), 0.0)
     if n == 0 or y.min() == y.max():
         return model
+    seen, hit = np.bincount(dim, minlength=DIMS), np.bincount(dim, y[row], minlength=DIMS)
+    cells = [(hit, y.sum()), (seen - hit, n - y.sum())]
+    ratio = 2 * sum(
+        c * np.log(np.maximum(c, 1e-9) * n / (np.maximum(s, 1) * t))
+        for k, t in cells
+        for c, s in ((k, seen), (t - k, n - seen))
+    )
+    (in_good, good), (in_bad, bad) = cells
+    start = np.where(ratio >= TELLING, 0.5 * np.log((in_good + 0.5) / (good + 1) / ((in_bad + 0.5) / (bad + 1))), 0.0)
+    use = ratio[dim] >= TELLING
+    row, dim = row[use], dim[use]
     # per-weight steps by how much each measure varies, so rare words move as fast as common ones
-    seen = np.bincount(dim, minlength=DIMS)
     rate = 4.0 / (np.sqrt(seen / n) + 0.02) / np.sqrt(len(dim) / n + STYLE)
-    w, s, b = model.word, model.style, float(np.log(y.mean() / (1 - y.mean())))
+    w, s, b = start, model.style, float(np.log(y.mean() / (1 - y.mean())))
     vw, vs, vb = np.zeros(DIMS), np.zeros(STYLE), 0.0
     for _ in range(steps):
         lead = Model(w + 0.9 * vw, s + 0.9 * vs, b + 0.9 * vb)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridership.llm import chat, fingerprints, mixing, ngram_join, packing, quality, sharding, suffix_dedup, tokens
+from ridership.llm import chat, embedding_dedup, fingerprints, mixing, ngram_join, packing, quality, sharding, suffix_dedup, tokens
 from ridership.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,6 +163,22 @@ def _(spark, sf):
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query(
+    "op8_embedding_near_dedup",
+    """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+    , sound AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v WHERE len(e) > 0
+        AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0)
+    , links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id
+        WHERE len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95)
+    , reach(vec_id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+    , c AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
+    , n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+    SELECT c.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
+)
+def _(spark, sf):
+    return embedding_dedup.near_duplicates(table(spark, sf, "embeddings"))
+
+
 @query("op9_quality_classifier")
 def _(spark, sf):
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"), F.col("source"), F.col("lang")).drop("text_key")
