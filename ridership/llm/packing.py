@@ -13,8 +13,10 @@ Defined cases: a NULL text is empty; an empty text is the separator alone; repea
 
 from __future__ import annotations
 
-import re
+import os
+import string
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -27,32 +29,107 @@ from ridership.session import stage
 
 MAX_TOKENS = 2048
 SEPARATOR = 0
-# a space between two solid characters always begins a new word of the byte-level tokenizer
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-CACHED_WORDS = 600_000
+# white space other than the space and the line break
+_OTHER_SPACES = [chr(c) for c in (9, 11, 12, 13, *range(28, 32), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)]
+_DOUBLES = ("  ", " \n", "\n ", "\n\n")
+CACHED_WORDS = 800_000
+
+
+def _odd(text: str) -> bool:
+    """Whether white space is more than single spaces and line breaks between solid characters."""
+    return text[0] in " \n" or text[-1] in " \n" or any(d in text for d in _DOUBLES) or any(c in text for c in _OTHER_SPACES)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable bytes as they are, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class WordIds:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, by a tokenizer and a bounded cache of words."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes, by a byte-level tokenizer and a bounded cache of words.
 
-    def __init__(self, path: str):
-        import os
+    A byte-level tokenizer begins a new word at a space between two solid characters, and a line break between two is a
+    word of its own. So the ids of a text are those of its words, which are kept; texts with other white space go through
+    the tokenizer whole. A word of letters is given to the tokenizer's model at once, as it is not cut further, and so
+    are signs that follow it.
+    """
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        # words at the beginning of a line, and after a space; each in two generations of bounded size
+        self.caches: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {"": ({}, {}), " ": ({}, {})}
+        self.signs: dict[str, bytes] = {}
+        self.line = self._whole(["\n"])[0]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _uncut(self, word: str, lead: str = "") -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(self.letters[32] + word if lead else word)]).tobytes()
+
+    def _learn(self, cache: dict[str, bytes], words: set[str], lead: str) -> None:
+        other = []
+        for w in words:
+            stem = w.rstrip(string.punctuation)
+            if not stem.isalpha():
+                other.append(w)
+                continue
+            ids = cache.get(stem)
+            if ids is None:
+                ids = cache[stem] = self._uncut(stem, lead)
+            if len(stem) < len(w):
+                signs = w[len(stem) :]
+                if signs not in self.signs:
+                    if len(self.signs) > CACHED_WORDS:
+                        self.signs.clear()
+                    self.signs[signs] = self._uncut(signs)
+                cache[w] = ids + self.signs[signs]
+        for w, ids in zip(other, self._whole([lead + w for w in other])):
+            cache[w] = ids
+
+    def _words(self, words: list[str], lead: str) -> list[bytes]:
+        young, old = self.caches[lead]
+        if len(young) > CACHED_WORDS:
+            young, old = self.caches[lead] = ({}, young)
+        got = list(map(young.get, words))
+        if None in got:
+            missed = [i for i, ids in enumerate(got) if ids is None]
+            new = set()
+            for w in {words[i] for i in missed}:
+                ids = old.get(w)
+                if ids is None:
+                    new.add(w)
+                else:
+                    young[w] = ids
+            self._learn(young, new, lead)
+            for i in missed:
+                got[i] = young[words[i]]
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-        parts = [_CUT.split(t) for t in texts]
-        new = list({w for p in parts for w in p if w not in cache})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([cache[w] for w in p]) for p in parts]
+        odd = [bool(t) and _odd(t) for t in texts]
+        lines = [[line.split(" ") for line in t.split("\n")] for t, o in zip(texts, odd) if t and not o]
+        first = iter(self._words([w[0] for t in lines for w in t], ""))
+        later = self._words([x for t in lines for w in t for x in w[1:]], " ")
+        done, at = [], 0
+        for t in lines:
+            parts = []
+            for w in t:
+                end = at + len(w) - 1
+                parts.append(next(first) + b"".join(later[at:end]))
+                at = end
+            done.append(self.line.join(parts))
+        plain, whole = iter(done), iter(self._whole([t for t, o in zip(texts, odd) if o]))
+        return [(next(whole) if o else next(plain)) if t else b"" for t, o in zip(texts, odd)]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, separator: int = SEPARATOR, with_ids: bool = False) -> DataFrame:
@@ -67,7 +144,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS,
                 out: list[list] = [[], [], [], [], [], []]
                 coded = words.encode([t or "" for t in part.column("text").to_pylist()])
                 for doc, ids in zip(part.column("doc_id").to_pylist(), coded):
-                    ids += end
+                    ids = ids + end
                     for piece, begin in enumerate(range(0, len(ids), 4 * max_tokens)):
                         own = ids[begin : begin + 4 * max_tokens]
                         for col, v in zip(out, (doc, piece, begin // 4, len(own) // 4, zlib.crc32(own), own)):
