@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from ridership.registry import QUERIES  # noqa: E402
-from ridership.session import get_spark  # noqa: E402
+from ridership.session import clear, get_spark  # noqa: E402
 
 HEADLINE = [
     "load_windows",
@@ -70,6 +70,7 @@ def main() -> None:
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     line = {"metric": "headline queries, total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times}
     print(json.dumps({**line, "sf": float(sf) if sf.replace(".", "").isdigit() else sf}))
+    clear()
     spark.stop()
 
 

@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridership.functions.bins import LOAD_CLASSES, Bound, assign_class
-from ridership.operators.enrich import concat
 from ridership.operators.ordered import PIECE_ROWS, Along, over_neighbours, top_k
 
 LOOKBACK_WEEKS = (1, 2, 4)
 
 
+def _lookbacks(
+    df: DataFrame, days: Mapping[str, int], pct: float, target: str, keys: Sequence[str], date: str
+) -> DataFrame:
+    """Add a percentile per look-back: ``days`` maps the new column to its length.
+
+    Rows are first counted per day and value, so the one window of a trip and route holds its days and values, not its
+    rows; every look-back is a range of days in that window.
+    """
+    keys = list(keys)
+    counted = df.groupBy(*keys, date, target).agg(F.count(F.lit(1)).alias("_n"))
+    by_day = Window.partitionBy(*keys).orderBy(F.unix_date(date))
+    cols = {
+        name: F.percentile(target, pct / 100.0, F.col("_n")).over(by_day.rangeBetween(-n, -1)) for name, n in days.items()
+    }
+    # all values of a day have the same past
+    past = counted.select(*keys, date, *[c.alias(name) for name, c in cols.items()]).dropDuplicates([*keys, date])
+    return df.join(past, [*keys, date], "left").withColumns({n: F.coalesce(n, F.lit(-1.0)) for n in days})
+
+
 def lookback_percentile(
     df: DataFrame,
     days: int,
@@ -23,28 +41,8 @@ def lookback_percentile(
     date: str = "transit_date",
     name: str = "y_pred",
 ) -> DataFrame:
-    """Percentile of the target of the same trip and route over the ``days`` before the date, -1 if there is none (K1).
-
-    History is reduced to counts per day and value, each of which is offered to the dates it can serve; the percentile
-    then runs on counts. No window spans a trip's rows.
-    """
-    keys = list(keys)
-    dates = df.select(*keys, date).distinct()
-    history = (
-        df.filter(F.col(target).isNotNull()).groupBy(*keys, F.col(date).alias("_past"), target).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    offered = history.withColumn(
-        date,
-        F.explode(F.sequence(F.date_add("_past", 1), F.date_add("_past", days))),
-    )
-    past = (
-        offered.join(dates, [*keys, date], "left_semi")
-        .groupBy(*keys, date, target)
-        .agg(F.sum("_n").alias("_n"))
-        .groupBy(*keys, date)
-        .agg(F.percentile(target, pct / 100.0, F.col("_n")).alias(name))
-    )
-    return df.join(past, [*keys, date], "left").withColumn(name, F.coalesce(name, F.lit(-1.0)))
+    """Percentile of the target of the same trip and route over the ``days`` before the date, -1 if there is none (K1)."""
+    return _lookbacks(df, {name: days}, pct, target, keys, date)
 
 
 STOP_KEY = ("route_id_direction", "stop_sequence", "hour", "block_abbr", "dayofweek")
@@ -122,17 +120,21 @@ def baseline_report(
 
     ``compat`` gives the longest look-back the smallest tag and the other way round.
     """
-    tags = sorted(weeks, reverse=True) if compat else sorted(weeks)
-    parts = []
-    for n, tag in zip(sorted(weeks), tags):
-        scored = lookback_percentile(df, 7 * n, pct, target)
-        parts.append(
-            scored.withColumns(
-                {
-                    "y_true": assign_class(target, bounds),
-                    "y_pred_class": assign_class("y_pred", bounds),
-                    "past": F.lit(tag),
-                }
-            ).filter(F.col("y_pred_class").isNotNull())
+    tags = dict(zip(sorted(weeks), sorted(weeks, reverse=compat)))
+    names = {n: f"_past{n}" for n in tags}
+    keys = ("trip_id", "route_id_direction")
+    scored = _lookbacks(df, {name: 7 * n for n, name in names.items()}, pct, target, keys, "transit_date")
+    each = F.array(*[F.struct(F.col(names[n]).alias("y_pred"), F.lit(tag).alias("past")) for n, tag in tags.items()])
+    return (
+        scored.withColumn("_each", F.explode(each))
+        .withColumns(
+            {
+                "y_pred": F.col("_each.y_pred"),
+                "y_true": assign_class(target, bounds),
+                "y_pred_class": assign_class("_each.y_pred", bounds),
+                "past": F.col("_each.past"),
+            }
         )
-    return concat(*parts)
+        .drop("_each", *names.values())
+        .filter(F.col("y_pred_class").isNotNull())
+    )

@@ -1,7 +1,7 @@
 """Encoders and scalers.
 
-Fitting reads the distinct values of a categorical column, or two numbers of a numeric one, to the driver; both are
-small by nature and the count of categories is checked.
+An index map is a table, made without a single-task sort, and serves any number of values. The one-hot form has a column
+per value by definition, so its values are read to the driver; a column of many values should go in as its index.
 """
 
 from __future__ import annotations
@@ -11,29 +11,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_CATEGORIES = 10_000
+from ridership.session import stage
 
-
-def fit_categories(df: DataFrame, cols: Sequence[str], limit: int = MAX_CATEGORIES) -> dict[str, list]:
-    """Sorted distinct values per column; raises if a column has more than ``limit``."""
-    out = {}
-    for c in cols:
-        rows = df.select(c).filter(F.col(c).isNotNull()).distinct().limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"{c} has more than {limit} values; it is not a category")
-        out[c] = sorted(r[0] for r in rows)
-    return out
+def fit_categories(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
+    """Sorted distinct values per column."""
+    return {c: sorted(r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().collect()) for c in cols}
 
 
 def one_hot(df: DataFrame, categories: Mapping[str, Sequence]) -> DataFrame:
     """A 0/1 column ``<col>_<value>`` per category."""
-    return df.withColumns(
-        {
-            f"{c}_{v}": F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0))
-            for c, values in categories.items()
-            for v in values
-        }
-    )
+    hot = {
+        f"{c}_{v}": F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)) for c, values in categories.items() for v in values
+    }
+    return df.select(*[c for c in df.columns if c not in hot], *[x.alias(n) for n, x in hot.items()])
 
 
 def one_hot_inverse(df: DataFrame, categories: Mapping[str, Sequence]) -> DataFrame:
@@ -45,9 +35,19 @@ def one_hot_inverse(df: DataFrame, categories: Mapping[str, Sequence]) -> DataFr
 
 
 def index_map(df: DataFrame, col: str) -> DataFrame:
-    """Mapping table value -> 0-based index in sorted order (L6). The window sees distinct values only."""
+    """Mapping table value -> 0-based index in sorted order.
+
+    The distinct values are sorted over all tasks and stored with their task and place; a value's index is its place
+    plus the values of the tasks before, of which there is one row each.
+    """
     values = df.select(col).filter(F.col(col).isNotNull()).distinct()
-    return values.withColumn(f"{col}_ix", F.dense_rank().over(Window.orderBy(col)) - 1)
+    # the high bits of the id count the sorted tasks, the low 33 the rows of a task
+    placed = stage(values.orderBy(col).withColumn("_id", F.monotonically_increasing_id()), f"index_{col}")
+    placed = placed.withColumn("_task", F.shiftright("_id", 33))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = placed.groupBy("_task").count().select("_task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")
+    return placed.join(tasks, "_task").select(col, place.cast("int").alias(f"{col}_ix"))
 
 
 def apply_index(df: DataFrame, mapping: DataFrame, col: str) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridership.functions.times import gtfs_dayofweek, hms_to_hour
@@ -130,10 +130,12 @@ def gtfs_version_in_force(
     versions = feeds.select(
         trip, F.col(feed_date).alias("gtfs_date"), *[F.col(c).alias(f"gtfs_{c}") for c in cols]
     ).distinct()
-    dated = events.select(*keys).distinct().join(versions.select(trip, "gtfs_date").distinct(), trip)
-    best = (
-        dated.filter(F.col(transit_date) >= F.col("gtfs_date")).groupBy(*keys).agg(F.max("gtfs_date").alias("gtfs_date"))
-    )
+    # days and versions of a trip in one line: the latest version so far
+    days = events.select(*keys).distinct().withColumns({"gtfs_date": F.lit(None).cast(feeds.schema[feed_date].dataType), "_day": F.lit(1)})
+    starts = versions.select(F.col("gtfs_date").alias(transit_date), trip, "gtfs_date").distinct().withColumn("_day", F.lit(0))
+    so_far = Window.partitionBy(trip).orderBy(transit_date, "_day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = days.unionByName(starts).withColumn("gtfs_date", F.max("gtfs_date").over(so_far))
+    best = line.filter((F.col("_day") == 1) & F.col("gtfs_date").isNotNull()).select(*keys, "gtfs_date")
     return events.join(best.join(versions, [trip, "gtfs_date"]), list(keys), "left")
 
 

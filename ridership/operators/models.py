@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
-    LogisticRegression,
     MultilayerPerceptronClassifier,
     OneVsRest,
     RandomForestClassifier,
@@ -17,15 +21,17 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import MinMaxScaler, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridership.functions.bins import CLASS_BINS, TARGET_MAX, Bound, adjust_bins, adjusted_bounds, assign_class
 from ridership.operators.basic import cap_target
-from ridership.operators.encode import MAX_CATEGORIES, apply_index, fit_categories, index_map, one_hot
+from ridership.operators.encode import apply_index, fit_categories, index_map, one_hot
 from ridership.operators.enrich import concat
+from ridership.operators.ordered import top_k
 from ridership.operators.quantiles import class_bounds, collect_bounds
 from ridership.operators.split import date_split, stratified_kfold
+from ridership.session import stage
 
 
 @dataclass(frozen=True)
@@ -71,7 +77,8 @@ def prepare_training(
 def feature_stages(features: Features) -> list[Estimator]:
     """One-hot encode the categories and assemble into ``features``.
 
-    Unseen categories get their own slot, ordinals go in as the numbers they are, rows with a NULL feature are left out.
+    Unseen categories get their own slot, ordinals go in as the numbers they are. A NULL number becomes NaN: fits leave such
+    rows out, predictions on them are NULL.
     """
     text = [f"{c}_text" for c in features.categorical]
     ix = [f"{c}_ix" for c in features.categorical]
@@ -80,25 +87,29 @@ def feature_stages(features: Features) -> list[Estimator]:
         StringIndexer(inputCols=text, outputCols=ix, stringOrderType="alphabetAsc", handleInvalid="keep"),
         OneHotEncoder(inputCols=ix, outputCols=hot, dropLast=False),
         VectorAssembler(
-            inputCols=[*hot, *features.ordinal, *features.numeric], outputCol="features", handleInvalid="skip"
+            inputCols=[*hot, *features.ordinal, *features.numeric], outputCol="features", handleInvalid="keep"
         ),
     ]
 
 
+def _known(features: Features) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*features.ordinal, *features.numeric)], F.lit(True))
+
+
 def _as_text(df: DataFrame, features: Features) -> DataFrame:
     return df.withColumns({f"{c}_text": F.col(c).cast("string") for c in features.categorical})
 
 
 def fit_classifier(df: DataFrame, features: Features, classifier: Estimator, label: str = "y_class") -> PipelineModel:
     """Feature stages and a classifier as one pipeline; rows without a label are left out."""
-    rows = _as_text(df.filter(F.col(label).isNotNull()), features).withColumn("label", F.col(label).cast("double"))
+    rows = _as_text(df.filter(F.col(label).isNotNull() & _known(features)), features).withColumn("label", F.col(label).cast("double"))
     return Pipeline(stages=[*feature_stages(features), classifier]).fit(rows)
 
 
 def predict(model: PipelineModel, df: DataFrame, features: Features, name: str = "y_pred") -> DataFrame:
-    """The input columns and the predicted class."""
+    """The input columns and the predicted class, NULL where a feature is NULL."""
     out = model.transform(_as_text(df, features))
-    return out.select(*df.columns, F.col("prediction").cast("int").alias(name))
+    return out.select(*df.columns, F.when(_known(features), F.col("prediction").cast("int")).alias(name))
 
 
 def fit_forest(df: DataFrame, features: Features, trees: int = 100, depth: int = 8, seed: int = 100) -> PipelineModel:
@@ -115,7 +126,7 @@ def fit_mlp(
     df: DataFrame, features: Features, hidden: Sequence[int] = (32,), iterations: int = 50, seed: int = 100
 ) -> PipelineModel:
     """Multilayer perceptron on scaled features (M3); its input width comes from the fitted feature stages."""
-    rows = _as_text(df.filter(F.col("y_class").isNotNull()), features).withColumn("label", F.col("y_class").cast("double"))
+    rows = _as_text(df.filter(F.col("y_class").isNotNull() & _known(features)), features).withColumn("label", F.col("y_class").cast("double"))
     scaler = MinMaxScaler(inputCol="features", outputCol="scaled")
     stages = Pipeline(stages=[*feature_stages(features), scaler]).fit(rows)
     assembled = stages.transform(rows)
@@ -172,12 +183,14 @@ def random_search(
     seed: int = 100,
     parallelism: int = 2,
 ) -> tuple[CrossValidatorModel, list[dict]]:
-    """Random settings of a forest scored by stratified cross-validation accuracy (M4)."""
+    """Random settings of a forest, each drawn once, scored by stratified cross-validation accuracy (M4)."""
     forest = RandomForestClassifier(seed=seed)
     rng = random.Random(seed)
-    grid = [{n: rng.choice(list(v)) for n, v in space.items()} for _ in range(n_iter)]
+    every = [dict(zip(space, values)) for values in itertools.product(*space.values())]
+    grid = rng.sample(every, min(n_iter, len(every)))
     maps = [{forest.getParam(n): v for n, v in g.items()} for g in grid]
-    folded = stratified_kfold(df.filter(F.col("y_class").isNotNull()), "y_class", keys, folds, seed)
+    known = df.filter(F.col("y_class").isNotNull() & _known(features))
+    folded = stage(stratified_kfold(known, "y_class", keys, folds, seed), "folds")
     rows = _as_text(folded, features).withColumn("label", F.col("y_class").cast("double"))
     assembled = Pipeline(stages=feature_stages(features)).fit(rows).transform(rows)
     cv = CrossValidator(
@@ -204,44 +217,96 @@ def window_sweep(
     depth: int = 5,
     seed: int = 100,
 ) -> DataFrame:
-    """Rebuild the roll-up per window size, fit on all folds but one, score that one (M5).
+    """Rebuild the roll-up per window size; every fold is scored by a fit on the others (M5).
 
     ``rows_for`` gives the classed roll-up for a window size. Rows carry ``time_window_param`` and ``kfold``.
     """
     parts = []
     for w in windows:
         rows = stratified_kfold(rows_for(w).filter(F.col("y_class").isNotNull()), "y_class", keys, folds, seed)
-        model = fit_forest(rows.filter(F.col("kfold") != 0), features, trees, depth, seed)
-        scored = predict(model, rows.filter(F.col("kfold") == 0), features)
-        parts.append(scored.withColumns({"time_window_param": F.lit(w), "y_true": F.col("y_class")}))
+        rows = stage(rows, "folds")
+        for fold in range(folds):
+            model = fit_forest(rows.filter(F.col("kfold") != fold), features, trees, depth, seed)
+            scored = predict(model, rows.filter(F.col("kfold") == fold), features)
+            parts.append(scored.withColumns({"time_window_param": F.lit(w), "y_true": F.col("y_class")}))
     return concat(*parts)
 
 
+def _fit_softmax(iterations: int, route: str, features: Features) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Multinomial regression on the rows of one route: a weight per class for each number, each category and the constant."""
+    numbers = [*features.ordinal, *features.numeric]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        classes = np.sort(rows["y_class"].unique())
+        y = rows["y_class"].to_numpy()[:, None] == classes[None, :]
+        x = rows[numbers].to_numpy(float).reshape(len(rows), len(numbers))
+        mean, width = x.mean(axis=0), x.std(axis=0)
+        width = np.where(width > 0, width, 1.0)
+        names = list(numbers)
+        blocks = [(x - mean) / width]
+        for c in features.categorical:
+            values = np.sort(rows[c].unique())
+            names += [f"{c}={v}" for v in values]
+            blocks.append(rows[c].to_numpy()[:, None] == values[None, :])
+        blocks.append(np.ones((len(rows), 1)))
+        x = np.concatenate(blocks, axis=1).astype(float)
+        w = np.zeros((x.shape[1], len(classes)))
+        speed = np.zeros_like(w)
+        for _ in range(iterations):
+            z = x @ (w + 0.9 * speed)
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            speed = 0.9 * speed - (2.0 / (1 + len(blocks))) * (x.T @ (p - y) / len(x))
+            w = w + speed
+        scaled = w.copy()
+        n = len(numbers)
+        scaled[:n] = w[:n] / width[:, None]
+        scaled[-1] = w[-1] - (w[:n] * (mean / width)[:, None]).sum(axis=0)
+        weights = {k: v.tolist() for k, v in zip([*names, ""], scaled)}
+        return pd.DataFrame({route: [rows[route].iloc[0]], "_weights": [weights], "_classes": [classes.tolist()]})
+
+    return run
+
+
 def per_route_models(
     df: DataFrame,
     features: Features,
     ranges: Mapping[str, tuple[str, str]],
     route: str = "route_id_direction",
-    iterations: int = 20,
+    iterations: int = 200,
+    fit_rows: int = 20_000,
+    seed: int = 100,
 ) -> DataFrame:
     """One multinomial regression per route, scored on the route's test dates (M6).
 
-    A route lacking rows in one of the ranges is skipped. Each fit is a distributed job over the rows of its route, so
-    a route of any size is never brought into one task; the loop runs over the route names only.
+    A route lacking rows in one of the ranges is skipped. All routes are fitted side by side, each on its first
+    ``fit_rows`` training rows in a seeded order, a documented bound on the rows of a fit; all test rows are scored, by
+    expressions over the weights. A category that the fit has not seen adds nothing, a NULL feature gives NULL.
     """
     parts = date_split(df.filter(F.col("y_class").isNotNull()), dict(ranges))
-    sizes = concat(*[d.select(route, F.lit(n).alias("_part")) for n, d in parts.items()])
-    full = (
-        sizes.groupBy(route)
-        .agg(F.countDistinct("_part").alias("n"))
-        .filter(F.col("n") == len(parts))
-        .select(route)
-        .limit(MAX_CATEGORIES)
-        .collect()
+    numbers = [*features.ordinal, *features.numeric]
+    text = {c: F.col(c).cast("string") for c in (route, *features.categorical)}
+    test = parts["test"]
+    for n, part in parts.items():
+        if n != "test":
+            test = test.join(part.select(route).distinct(), route, "left_semi")
+    train = parts["train"].filter(_known(features)).withColumns(text).select(route, *features.categorical, *numbers, "y_class")
+    train = train.na.fill("", list(features.categorical))
+    chosen = top_k(train, [route], [F.xxhash64(F.lit(seed), *train.columns), *[F.col(c) for c in train.columns]], fit_rows)
+    fitted = chosen.groupBy(route).applyInPandas(
+        _fit_softmax(iterations, route, features), f"{route} string, _weights map<string, array<double>>, _classes array<int>"
     )
-    scored = []
-    for name in sorted(r[0] for r in full):
-        mine = F.col(route) == name
-        model = fit_classifier(parts["train"].filter(mine), features, LogisticRegression(maxIter=iterations, family="multinomial"))
-        scored.append(predict(model, parts["test"].filter(mine), features))
-    return concat(*scored)
+    rows = test.withColumn("_route", F.col(route).cast("string")).join(fitted.withColumnRenamed(route, "_route"), "_route", "left")
+    total = F.element_at("_weights", F.lit(""))
+
+    def times(c: str) -> Callable[[Column, Column], Column]:
+        return lambda a, w: a + w * F.col(c)
+
+    for c in numbers:
+        total = F.zip_with(total, F.element_at("_weights", F.lit(c)), times(c))
+    for c in features.categorical:
+        own = F.try_element_at("_weights", F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))))
+        total = F.zip_with(total, F.coalesce(own, F.transform(total, lambda a: F.lit(0.0))), lambda a, w: a + w)
+    rows = rows.withColumn("_total", total)
+    best = F.element_at("_classes", F.array_position("_total", F.array_max("_total")).cast("int"))
+    return rows.select(*df.columns, F.when(_known(features) & F.col("_total").isNotNull(), best).alias("y_pred"))

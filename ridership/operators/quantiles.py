@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridership.operators.ordered import PIECE_ROWS, Along, over_neighbours, running_sum
+from ridership.session import stage
 
 
 def value_counts(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -26,7 +27,11 @@ def _by_value(piece_rows: int) -> Along:
 
 
 def _cumulative(df: DataFrame, col: str, by: Sequence[str], piece_rows: int) -> DataFrame:
-    return running_sum(value_counts(df, col, by), by, _by_value(piece_rows), {"cum": F.col("n")})
+    """Counts per value with ``cum`` and ``_total``. The counts are stored, so the rows are read once."""
+    hist = stage(value_counts(df, col, by), "value_counts")
+    totals = hist.groupBy(*by).agg(F.sum("n").alias("_total"))
+    out = running_sum(hist, by, _by_value(piece_rows), {"cum": F.col("n")})
+    return out.join(totals, list(by)) if by else out.withColumn("_total", totals.scalar())
 
 
 def exact_quantiles(
@@ -43,11 +48,6 @@ def exact_quantiles(
     """
     by = list(by)
     hist = _cumulative(df, col, by, piece_rows)
-    totals = df.groupBy(*by).agg(F.count(col).alias("_total"))
-    if by:
-        hist = hist.join(totals, by)
-    else:
-        hist = hist.withColumn("_total", totals.scalar())
 
     def at(index: Column) -> Column:
         return F.min(F.when(F.col("cum") > index, F.col("value")))
@@ -103,8 +103,6 @@ def ecdf(df: DataFrame, col: str, by: Sequence[str] = (), piece_rows: int = PIEC
     """Empirical distribution function at each distinct value (F8)."""
     by = list(by)
     hist = _cumulative(df, col, by, piece_rows)
-    totals = df.groupBy(*by).agg(F.count(col).alias("_total"))
-    hist = hist.join(totals, by) if by else hist.withColumn("_total", totals.scalar())
     return hist.select(*by, "value", (F.col("cum") / F.col("_total")).alias("cdf"))
 
 

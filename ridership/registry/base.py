@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridership.operators.ordered import PIECE_ROWS
 from ridership.sources.bindings import with_bindings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,14 +101,6 @@ def query(key: str, needs: str = "", sql: str | None = None) -> Callable[[Query]
     return add
 
 
-def piece_rows(spark: SparkSession) -> int:
-    """Group size above which the queries cut a group: the default, or 1/400 of a small table.
-
-    So the checks on small tables run through cut groups, and never more than 400 groups are cut below the default.
-    """
-    return min(PIECE_ROWS, max(1, spark.table("events").count() // 400))
-
-
 def r(expr: str, name: str) -> str:
     """A double of the oracle to 6 places, without a negative zero."""
     return f"round(CAST({expr} AS DOUBLE) + {NUDGE}, 6) + 0.0 AS {name}"

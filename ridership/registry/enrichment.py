@@ -8,7 +8,7 @@ from ridership.functions.times import calendar_parts, day_number
 from ridership.operators import enrich
 from ridership.operators.basic import route_direction_key
 from ridership.operators.ordered import Along
-from ridership.registry.base import EV, HOURLY, ROUTE, d, piece_rows, query, r
+from ridership.registry.base import EV, HOURLY, ROUTE, d, query, r
 from ridership.sources.bindings import bind
 
 VALUES = ("temperature", "humidity", "precipitation_intensity")
@@ -104,7 +104,7 @@ def _(spark, sf):
         speed,
         "backfill",
         along=Along(
-            ["block_abbr", "arrival_time", "trip_id"], F.col("block_abbr") * 1_000_000 + day_number("arrival_time"), piece_rows(spark)
+            ["block_abbr", "arrival_time", "trip_id"], F.col("block_abbr") * 1_000_000 + day_number("arrival_time")
         ),
     )
     return out.select(*_SPEED_COLS)

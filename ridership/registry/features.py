@@ -7,7 +7,7 @@ from ridership.functions.times import calendar_parts, epoch_micros
 from ridership.operators import baseline, enrich, features, ordered, quantiles
 from ridership.operators.basic import route_direction_key
 from ridership.operators.ordered import Along
-from ridership.registry.base import EV, TRIPS, d, piece_rows, query, r, window
+from ridership.registry.base import EV, TRIPS, d, query, r, window
 from ridership.registry.rollups import stored_trips
 from ridership.sources.bindings import bind
 
@@ -50,7 +50,7 @@ def _register_scope(scope: str) -> None:
     def _(spark, sf):
         trips = stored_trips(spark, sf)
         out = features.lag_and_pct_change(
-            trips, {"y_reg100": PAST[0], "actual_headways": PAST[1]}, scope, features.trip_order(piece_rows(spark))
+            trips, {"y_reg100": PAST[0], "actual_headways": PAST[1]}, scope, features.trip_order()
         )
         return out.select("transit_date", "trip_id", *PAST[:2])
 
@@ -61,7 +61,7 @@ def _register_scope(scope: str) -> None:
     )
     def _(spark, sf):
         trips, cols = stored_trips(spark, sf), {"actual_headways": PAST[2], "y_reg100": PAST[3]}
-        out = features.rolling_lower_quantile(trips, cols, 5, 0.95, scope, features.trip_order(piece_rows(spark)))
+        out = features.rolling_lower_quantile(trips, cols, 5, 0.95, scope, features.trip_order())
         return out.select("transit_date", "trip_id", *PAST[2:])
 
     @query(
@@ -107,7 +107,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     ev = bind(spark, sf, "stop_events")
-    along = Along(["scheduled_time", "event_id"], epoch_micros("scheduled_time"), piece_rows(spark))
+    along = Along(["scheduled_time", "event_id"], epoch_micros("scheduled_time"))
     out = enrich.backfill(ev, ["route_id"], along, ["load", "arrival_time"])
     return out.select("event_id", "load", "arrival_time")
 
@@ -258,13 +258,13 @@ def _keyed_stops(spark, sf):
     , ranked AS (SELECT a.*, h.load FROM asked a LEFT JOIN rows_ h ON {' AND '.join(f'h.{c} = a.{c}' for c in _STOP_KEY)}
         AND h.transit_date < a.transit_date
       QUALIFY row_number() OVER (PARTITION BY {', '.join(f'a.{c}' for c in (*_STOP_KEY, 'transit_date'))}
-        ORDER BY h.transit_date DESC, h.event_id DESC) <= 3)
+        ORDER BY h.transit_date DESC, h.event_id DESC) <= 10)
     , agg AS (SELECT {', '.join(_STOP_KEY)}, transit_date, max(load) AS max_load, avg(load) AS mean_load FROM ranked GROUP BY ALL)
     SELECT {', '.join(_STOP_KEY)}, {d('transit_date')}, {_RECENT} FROM agg""",
 )
 def _(spark, sf):
     ev = _keyed_stops(spark, sf)
-    return baseline.recent_stop_max_mean(ev, ["event_id"], k=3, keys=_STOP_KEY, piece_rows=piece_rows(spark))
+    return baseline.recent_stop_max_mean(ev, ["event_id"], keys=_STOP_KEY)
 
 
 @query(
@@ -291,7 +291,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     ev = bind(spark, sf, "stop_events").withColumn("y_class", bins.assign_class("load", bins.LOAD_CLASSES))
-    along = Along(["stop_sequence"], F.col("stop_sequence"), piece_rows(spark))
+    along = Along(["stop_sequence"], F.col("stop_sequence"))
     return baseline.rolling_max_class(ev, 5, ["trip_id"], along).select("event_id", "y_pred_roll")
 
 

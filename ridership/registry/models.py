@@ -125,7 +125,7 @@ def _(spark, sf):
         "test": ("2024-01-24", "2024-01-31"),
     }
     rows = stage(_classed_rows(spark, sf), "classed")
-    return _predicted(models.per_route_models(rows, light, ranges, iterations=5))
+    return _predicted(models.per_route_models(rows, light, ranges))
 
 
 @query("m7_save_load")

@@ -8,7 +8,7 @@ from ridership.functions import arrays, times
 from ridership.functions.times import calendar_parts, epoch_micros
 from ridership.operators import headway
 from ridership.operators.basic import route_direction_key
-from ridership.registry.base import EV, d, piece_rows, query, r, sec, window
+from ridership.registry.base import EV, d, query, r, sec, window
 from ridership.sources.bindings import bind
 
 _HEADWAYS = f"""
@@ -35,7 +35,7 @@ def _(spark, sf):
 @query("e4_scheduled_headway", "stop_events", f"{_HEADWAYS} SELECT event_id, sched_hdwy FROM headways")
 def _(spark, sf):
     ev = bind(spark, sf, "stop_events")
-    return headway.scheduled_headway(ev, ["event_id"], piece_rows(spark)).select("event_id", "sched_hdwy")
+    return headway.scheduled_headway(ev, ["event_id"]).select("event_id", "sched_hdwy")
 
 
 @query("e5_actual_headway", "stop_events", f"{_HEADWAYS} SELECT event_id, actual_hdwy FROM headways")
@@ -67,7 +67,7 @@ def _(spark, sf):
 def _(spark, sf):
     ev = bind(spark, sf, "stop_events").filter("arrival_time IS NOT NULL")
     keys = ["route_id", "route_direction_name", "block_abbr"]
-    out = headway.time_to_next(ev, keys, "arrival_time", ["event_id"], piece_rows=piece_rows(spark))
+    out = headway.time_to_next(ev, keys, "arrival_time", ["event_id"])
     return out.select("event_id", "time_to_next_stop")
 
 
@@ -82,7 +82,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     ev = bind(spark, sf, "stop_events").filter("load IS NOT NULL")
-    return headway.derived_load(ev, tie=["event_id"], piece_rows=piece_rows(spark)).select("event_id", "derived_load")
+    return headway.derived_load(ev, tie=["event_id"]).select("event_id", "derived_load")
 
 
 _WINDOWS = (15, 30, 40, 50, 60, 120)

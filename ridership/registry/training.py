@@ -6,7 +6,7 @@ from ridership.functions.times import epoch_micros
 from ridership.operators import encode, metrics, sequence, split
 from ridership.operators.basic import route_direction_key
 from ridership.operators.ordered import Along
-from ridership.registry.base import EV, d, piece_rows, query, r
+from ridership.registry.base import EV, d, query, r
 from ridership.registry.enrichment import MATCHED, matched
 from ridership.registry.rollups import CLASSED, classed
 from ridership.sources.bindings import bind
@@ -45,7 +45,7 @@ _K = 5
 )
 def _(spark, sf):
     rows, keys = classed(spark, sf), ["trip_id", "stop_sequence", "transit_date"]
-    folds = split.stratified_kfold(rows, "y_true", keys, _K, piece_rows=piece_rows(spark) * 40)
+    folds = split.stratified_kfold(rows, "y_true", keys, _K)
     return folds.groupBy("y_true", "kfold").agg(F.count("*").alias("n"))
 
 
@@ -164,7 +164,7 @@ def _list(expr: str, frame: str) -> str:
 
 def _sequence_rows(spark, sf):
     ev = bind(spark, sf, "stop_events")
-    return ev, Along(["scheduled_time", "event_id"], epoch_micros("scheduled_time"), piece_rows(spark))
+    return ev, Along(["scheduled_time", "event_id"], epoch_micros("scheduled_time"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -36,18 +37,39 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (local tests) a temporary folder is made.
+    Only a local master, where all tasks share one disk, gets a temporary folder where the session names none.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ridership-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/ridership-{uuid.uuid4().hex}/{name}"
+    """A fresh path under the shared folder; ``clear`` or the end of the program removes it."""
+    folder = f"{shared_dir(spark).rstrip('/')}/ridership-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(clear)
+    _made.append(folder)
+    return f"{folder}/{name}"
+
+
+def clear() -> None:
+    """Remove what this program has stored under the shared folder, if its session still runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for folder in _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _made.clear()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

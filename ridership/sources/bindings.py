@@ -48,15 +48,14 @@ _bind(
 _bind(
     "gtfs_trips",
     """
-SELECT t.trip_id, f.feed_date, t.trip_id % 10 AS route_id, t.trip_id % 2 AS direction_id, s.stop_id,
-  lpad(CAST((t.trip_id + f.k * 5) % 27 AS VARCHAR(2)), 2, '0') || ':' ||
+SELECT t.trip_id, t.feed_date, t.trip_id % 10 AS route_id, t.trip_id % 2 AS direction_id, t.stop_id,
+  lpad(CAST((t.trip_id + t.k * 5) % 27 AS VARCHAR(2)), 2, '0') || ':' ||
   lpad(CAST(t.trip_id % 60 AS VARCHAR(2)), 2, '0') || ':00' AS arrival_time,
   1 AS monday, 1 AS tuesday, 1 AS wednesday, 1 AS thursday, 1 AS friday,
   CASE WHEN t.trip_id % 3 = 0 THEN 1 ELSE 0 END AS saturday, CASE WHEN t.trip_id % 4 = 0 THEN 1 ELSE 0 END AS sunday
-FROM (SELECT DISTINCT user_id AS trip_id FROM events) t
-CROSS JOIN (VALUES (DATE '2024-01-01', 0), (DATE '2024-01-10', 1), (DATE '2024-01-20', 2)) f(feed_date, k)
-CROSS JOIN (SELECT DISTINCT event_type AS stop_id FROM events) s
-WHERE (t.trip_id + f.k) % 3 <> 0
+FROM (SELECT DISTINCT user_id AS trip_id, event_type AS stop_id, DATE '2024-01-04' AS feed_date, 0 AS k FROM events
+  UNION ALL SELECT DISTINCT user_id, event_type, DATE '2024-01-10', 1 FROM events
+  UNION ALL SELECT DISTINCT user_id, event_type, DATE '2024-01-20', 2 FROM events) t
 """,
 )
 _bind(
@@ -65,7 +64,7 @@ _bind(
 SELECT event_id AS disruption_id, ts + INTERVAL '7' MINUTE AS disruption_ts, user_id % 20 AS block_abbr,
   event_type AS start_stop,
   CASE event_id % 4 WHEN 0 THEN 'Mechanical' WHEN 1 THEN 'Accident' WHEN 2 THEN 'Weather' ELSE 'Operator' END AS reason
-FROM events WHERE event_type = 'error' AND event_id % 5 = 0
+FROM events WHERE event_type = 'error'
 """,
 )
 _bind(
@@ -75,13 +74,15 @@ SELECT user_id % 15 AS xd_id, ts AS measurement_tstamp, CASE WHEN event_id % 17
 FROM events WHERE event_type = 'click'
 """,
 )
+# a third of the checks carries a trip that no event has
 _bind(
     "manual_checks",
     """
-SELECT transit_date, block_abbr, stop_id, trip_id, stop_sequence, route_direction_name, route_id, vehicle_id,
+SELECT transit_date, block_abbr, stop_id, CASE WHEN event_id % 3 = 1 THEN trip_id + 1000000 ELSE trip_id END AS trip_id,
+  stop_sequence, route_direction_name, route_id, vehicle_id,
   load + (event_id % 11) - 5 AS load, ons + (event_id % 3) - 1 AS ons, offs,
   CASE WHEN event_id % 6 = 0 THEN 'load_error' ELSE 'clean' END AS remark
-FROM stop_events WHERE event_id % 3 = 0
+FROM stop_events
 """,
     "stop_events",
 )
@@ -120,7 +121,8 @@ _bind(
 SELECT CAST(ts AS DATE) AS transit_date, user_id AS trip_id,
   CAST(user_id % 10 AS VARCHAR(3)) || '_' || CASE WHEN user_id % 2 = 0 THEN 'TO' ELSE 'FROM' END AS route_id_direction,
   CAST(min(extract(HOUR FROM ts)) * 2 AS INT) AS time_window, avg(value) AS traffic_speed
-FROM events WHERE event_type = 'click' AND event_id % 17 <> 0 GROUP BY CAST(ts AS DATE), user_id
+FROM (SELECT ts, user_id, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS value FROM events WHERE event_type = 'click') c
+WHERE value IS NOT NULL GROUP BY CAST(ts AS DATE), user_id
 """,
 )
 # the second weather provider: stations instead of one point

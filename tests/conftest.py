@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from ridership.session import get_spark  # noqa: E402
+from ridership.session import clear, get_spark  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -14,7 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark(tmp_path_factory):
     session = get_spark(
         "tests",
-        "local[8]",
+        os.environ.get("TEST_MASTER", "local[8]"),
         spark__sql__shuffle__partitions="4",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
@@ -22,4 +22,5 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear()
     session.stop()

@@ -66,7 +66,7 @@ def main() -> int:
 
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
     wanted = sys.argv[1:]
-    spark = get_spark("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
+    spark = get_spark("oracle", os.environ.get("TEST_MASTER", "local[8]"), spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0

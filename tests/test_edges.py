@@ -236,13 +236,14 @@ def test_cell_corner_and_half_inside_segment(spark):
     assert ids(geo.segments_within(cells, segs, grid), "xd_id") == [1, 2, 5]
 
 
-def test_polyline_parts(spark):
+def test_polyline_points(spark):
     pts = spark.createDataFrame(
         [(1, date(2024, 1, 1), i, float(i), 0.0) for i in range(7)] + [(1, date(2024, 1, 2), 9, 9.0, 9.0)],
         "trip_id int, transit_date date, seq int, lon double, lat double",
     )
-    parts = geo.trip_polyline(pts, part_size=3, piece_rows=2).orderBy("part").collect()
-    assert [[p["lon"] for p in r["points"]] for r in parts] == [[0.0, 1.0, 2.0], [3.0, 4.0, 5.0], [6.0]]
+    for pieces in (2, 5_000_000):
+        line = geo.trip_polyline(pts, piece_rows=pieces).orderBy("n").collect()
+        assert [(r["n"], r["lon"]) for r in line] == [(i + 1, float(i)) for i in range(7)]
 
 
 def test_sequence_counts(spark):
@@ -279,8 +280,10 @@ def test_encoders(spark):
     hot = encode.one_hot(df, cats).drop("c")
     assert [(r["c_a"], r["c_b"]) for r in hot.orderBy("id").collect()] == [(1, 0), (0, 1), (0, 0)]
     assert [r["c"] for r in encode.one_hot_inverse(hot, cats).orderBy("id").collect()] == ["a", "b", None]
-    with pytest.raises(ValueError):
-        encode.fit_categories(df, ["c"], limit=1)
+    many = df.sparkSession.range(10_001).select(F.format_string("v%05d", "id").alias("c"))
+    assert len(encode.fit_categories(many, ["c"])["c"]) == 10_001
+    index = encode.index_map(many.repartition(7), "c")
+    assert index.filter(F.col("c_ix") != F.substring("c", 2, 5).cast("int")).count() == 0 and index.count() == 10_001
     constant = encode.fit_scaler(df.filter("x = 2"), ["x"])
     assert [r["x"] for r in encode.scale(df, constant).orderBy("id").collect()] == [0.0, 2.0, 0.0]
 
