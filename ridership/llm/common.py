@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from ridership.session import stage
 
 BITMAP = 32_768  # bits of one row of Spark's bitmap functions
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> None:
+    """Let Python workers get texts in batches of few rows: whole texts are large, and each batch is held twice."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def maybe_in(df: DataFrame, keys: DataFrame, key: Column, bits: int = 1 << 23) -> DataFrame:
     """Rows whose key may be in ``keys`` (one column ``key``); rows that may not go before a shuffle would move them.
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridership.llm.common import small_batches
 from ridership.llm.text import slices, spans_hash
 
 WINDOW = 7
@@ -154,6 +155,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def _next_to_each(docs: DataFrame, slot_bytes: int) -> DataFrame:
     """(slot, copy, doc_id, text) in order within each slot; the last row of a slot is followed by copies of the next."""
+    small_batches(docs)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -201,7 +203,7 @@ def compare_neighbours(docs: DataFrame, slot_bytes: int = SLOT_BYTES) -> DataFra
                 if s != slot and ids:
                     yield ids, texts, only
                     ids, texts, only, size = [], [], [], 0
-                elif size > 4_000_000:
+                elif size > 1_000_000:
                     ids.append(i), texts.append(t), only.append(True)
                     yield ids, texts, only
                     ids, texts, only, size = [], [], [], 0

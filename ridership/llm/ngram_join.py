@@ -8,12 +8,13 @@ with equal prefixes and sizes form a group, and only groups are posted under the
 1. Postings travel packed, by hash of the shingle. Each list proposes pairs (first group, other group) that pass the
    size and position filters; each group keeps the partner met most often; the members are verified on whole sets.
    Verified links give components, so a large group of near copies is one component after a link for each member.
-2. The lists of two and more groups are read again with the components. Pairs of groups whose members are all in one
-   component need no look; all other pairs that pass the filters are expanded to their members and verified. So no link
-   between different components is missed, and near copies are never paired all with all.
+2. The lists of two and more groups meet again with the components. Pairs of groups whose members are all in one
+   component need no look; all other pairs that pass the filters and share as many prefix shingles as linked sets must
+   are expanded to their members and verified. So no link between different components is missed, and near copies are
+   never paired all with all.
 
-Whole sets are made again from the texts of the documents that are in some pair; a bitmap of fixed size keeps other
-texts out of that shuffle.
+Verification brings the texts of the partners of a set to that set's task, a hub with many partners in several parts;
+whole sets are made again from the texts there. A bitmap of fixed size keeps texts without a pair out of that shuffle.
 
 Defined cases: A-Z count as a-z; NULL text, empty text or text without words has the empty set, linked with nothing;
 fewer than five words are one shingle; repeated rows and equal sets are one component; a NULL ``doc_id`` is never the
@@ -26,19 +27,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridership.llm.common import components, maybe_in
+from ridership.llm.common import components, maybe_in, small_batches
 from ridership.llm.text import U64, mix, ranges, shingles, slices
 from ridership.session import stage
 
 SIZE = 5
-COUNTERS = 1 << 19
+COUNTERS = 1 << 22
 BLOCKS = 16
 LIST_ROWS = 1_000_000
-PAIR_BLOCK = 2_000_000
+PAIR_BLOCK = 1_000_000
+HUB_ROWS = 200
+# Shingles that the prefixes of two linked sets share at least: the least overlap, less what stands after a prefix. The
+# first so many common shingles stand in both prefixes.
+SHARED = "(3 * (na + nb) + 6) div 7 - greatest((3 * na + 3) div 4, (3 * nb + 3) div 4) + 1"
 
 
 def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -70,14 +76,15 @@ def profiles(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, np.ndarray]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.uint32)
 
         def rows(*columns):
             return pa.RecordBatch.from_arrays(list(columns), names=["block", "doc_id", "text_key", "n", "set_key", "blob"])
 
         for b in batches:
             for first, h, at in _sets(b.column("text"), size):
-                counts += np.bincount((h % U64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+                slot, times = np.unique((h % U64(COUNTERS)).astype(np.int64), return_counts=True)
+                counts[slot] += times.astype(np.uint32)
                 n, m = np.diff(at), len(at) - 1
                 key = pa.array(_set_keys(h, at).view(np.int64), mask=n == 0)
                 own = [b.column(c).slice(first, m) for c in ("doc_id", "text_key")]
@@ -87,14 +94,17 @@ def profiles(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, np.ndarray]:
             yield rows(pa.array(np.arange(BLOCKS, dtype=np.int32)), *[pa.nulls(BLOCKS, pa.int64())] * 4, blobs)
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zstandard.decompress(x), np.int64) for x in table.column("blob").to_pylist())
+        total = np.zeros(COUNTERS // BLOCKS, np.uint32)
+        for x in table.column("blob").to_pylist():
+            # counts stop at the highest number
+            total += np.minimum(np.frombuffer(zstandard.decompress(x), np.uint32), np.uint32(0xFFFFFFFF) - total)
         return pa.table({"block": table.column("block")[:1], "blob": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
 
     out = stage(_texts(docs).mapInArrow(run, "block int, doc_id long, text_key long, n long, set_key long, blob binary"), "profiles")
     merged = out.filter("block IS NOT NULL").select("block", "blob").groupBy("block").applyInArrow(add, "block int, blob binary").collect()
-    counts = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.int64)
+    counts = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.uint32)
     for r in merged:
-        counts[r["block"]] = np.frombuffer(zstandard.decompress(bytes(r["blob"])), np.int64)
+        counts[r["block"]] = np.frombuffer(zstandard.decompress(bytes(r["blob"])), np.uint32)
     return out.filter("block IS NULL").select("doc_id", "text_key", "n", "set_key"), counts.ravel()
 
 
@@ -104,30 +114,32 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), text.alias("text"))
 
 
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each hash; parts follow the order of the hashes."""
+    return ((h >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32)
+
+
 POSTING = ("<u8", "<u4", "<u4")  # shingle, row of the group table, place in the prefix
 GROUP = ("<u8", "<u4")  # group key, set size
 
 
-def postings(docs: DataFrame, counts: np.ndarray, parts: int, size: int = SIZE, flush: int = 2_000_000) -> DataFrame:
-    """Packed postings of the groups and their members, stored.
-
-    Rows with ``part``: the postings of one task whose shingles fall to that part. Rows without: (group_key, set_key, n).
-    """
-    names = ["part", "rows", "groups", "blob", "group_key", "set_key", "n"]
-    order = np.minimum(counts, (1 << 32) - 1).astype(np.uint32)
+def postings(docs: DataFrame, counts: np.ndarray, parts: int, size: int = SIZE, flush: int = 1_000_000) -> DataFrame:
+    """Packed postings of the groups, by part, and their members (group_key, set_key), dealt over the parts as well."""
+    names = ["part", "rows", "groups", "blob", "group_key", "set_key"]
 
     def prefixes(h: np.ndarray, at: np.ndarray):
         """Prefix shingles in order, with row and place; group keys."""
         n = np.diff(at)
         row = np.repeat(np.arange(len(n)), n)
-        by = np.lexsort((h, order[(h % U64(COUNTERS)).astype(np.int64)], row))
+        by = np.lexsort((h, counts[(h % U64(COUNTERS)).astype(np.int64)], row))
         h = h[by]
         place = ranges(n)
         keep = place < (n - -(-3 * n // 4) + 1)[row]
         h, row, place = h[keep], row[keep], place[keep]
         ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(n)))])
         group = mix(_row_sum(mix(h * U64(2 * 7 + 1)), ends) + n.astype(U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
-        return h, row, place, group, n
+        # equally frequent shingles are taken from the smallest hash on; mixed again they spread over the parts
+        return mix(h), row, place, group, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -138,9 +150,9 @@ def postings(docs: DataFrame, counts: np.ndarray, parts: int, size: int = SIZE,
         def emit() -> Iterator[pa.RecordBatch]:
             h, g, place = (np.concatenate(x) for x in zip(*[x[:3] for x in held]))
             key, n = (np.concatenate(x) for x in zip(*[x[3:] for x in held]))
-            part = (h >> U64(32)) % U64(parts)
-            by = np.lexsort((h, part))
-            h, g, place, part = h[by], g[by], place[by], part[by].astype(np.int32)
+            by = np.argsort(h)
+            h, g, place = h[by], g[by], place[by]
+            part = _part(h, parts)
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
             blobs, rows, groups = [], [], []
             for lo, hi in zip(cut[:-1], cut[1:]):
@@ -149,7 +161,7 @@ def postings(docs: DataFrame, counts: np.ndarray, parts: int, size: int = SIZE,
                 rows.append(hi - lo)
                 groups.append(len(own))
             k = len(blobs)
-            cols = [pa.array(part[cut[:-1]]), pa.array(rows, pa.int32()), pa.array(groups, pa.int32()), pa.array(blobs, pa.binary()), *[pa.nulls(k, pa.int64())] * 3]
+            cols = [pa.array(part[cut[:-1]]), pa.array(rows, pa.int32()), pa.array(groups, pa.int32()), pa.array(blobs, pa.binary()), *[pa.nulls(k, pa.int64())] * 2]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
         for b in batches:
@@ -163,7 +175,8 @@ def postings(docs: DataFrame, counts: np.ndarray, parts: int, size: int = SIZE,
                 sets = sets[fresh]
                 h, row, place, group, n = prefixes(h[keep], at)
                 m = len(group)
-                cols = [*[pa.nulls(m, pa.int32())] * 3, pa.nulls(m, pa.binary()), *[pa.array(x.astype(U64).view(np.int64)) for x in (group, sets, n)]]
+                own = [pa.array(x.view(np.int64)) for x in (group, sets)]
+                cols = [pa.array(_part(group, parts)), *[pa.nulls(m, pa.int32())] * 2, pa.nulls(m, pa.binary()), *own]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 new = np.array([g not in posted and not posted.add(g) for g in group.tolist()], bool)
                 use = new[row]
@@ -176,13 +189,12 @@ def postings(docs: DataFrame, counts: np.ndarray, parts: int, size: int = SIZE,
         if waiting:
             yield from emit()
 
-    schema = "part int, rows int, groups int, blob binary, group_key long, set_key long, n long"
-    return stage(_texts(docs).mapInArrow(run, schema), "postings")
+    return _texts(docs).mapInArrow(run, "part int, rows int, groups int, blob binary, group_key long, set_key long")
 
 
 def _lists(table: pa.Table) -> tuple[np.ndarray, ...]:
     """Postings of a part without repeats, sorted by shingle and group: shingle, group, place, n."""
-    h, g, place, n = [], [], [], []
+    h, g, place, n = ([np.zeros(0, k)] for k in ("<u8", "<u8", "<u4", "<u4"))
     for rows, groups, blob in zip(*[table.column(c).to_pylist() for c in ("rows", "groups", "blob")]):
         raw = zstandard.ZstdDecompressor().decompress(blob)
         cut = rows * sum(np.dtype(k).itemsize for k in POSTING)
@@ -217,49 +229,61 @@ def _may_link(n: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray) ->
 
 
 def _leaders(table: pa.Table) -> pa.Table:
-    """Pairs (first group, other group) of each list with the number of lists; and the postings of lists with two or more."""
-    h, g, place, n = _lists(table)
+    """Pairs (first group, other group) of each list with the number of lists; the postings of lists with two or more; the
+    distinct members."""
+    members = table.filter(pc.is_valid(table.column("set_key"))).group_by(["group_key", "set_key"]).aggregate([])
+    h, g, place, n = _lists(table.filter(pc.is_valid(table.column("blob"))))
     begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     count = np.diff(np.append(begin, len(h)))
     many = np.repeat(count > 1, count)
     first = np.repeat(begin, count)
     other = np.flatnonzero(many & (first != np.arange(len(h))))
     ok = _may_link(n, place, first[other], other)
-    a, b = g[first[other[ok]]], g[other[ok]]
+    a, b, na, nb = g[first[other[ok]]], g[other[ok]], n[first[other[ok]]], n[other[ok]]
     by = np.lexsort((a, b))
-    a, b = a[by], b[by]
+    a, b, na, nb = a[by], b[by], na[by], nb[by]
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
     times = np.diff(np.append(new, len(a)))
-    k, m = len(new), int(many.sum())
+    k, m, c = len(new), int(many.sum()), len(members)
     signed = lambda x: pa.array(x.astype(U64).view(np.int64))
+    none = lambda rows: pa.nulls(rows, pa.int64())
+    column = lambda x: members.column(x).combine_chunks().cast(pa.int64())
     return pa.table(
         {
-            "a": pa.concat_arrays([signed(a[new]), pa.nulls(m, pa.int64())]),
-            "b": pa.concat_arrays([signed(b[new]), pa.nulls(m, pa.int64())]),
-            "times": pa.concat_arrays([pa.array(times), pa.nulls(m, pa.int64())]),
-            "shingle": pa.concat_arrays([pa.nulls(k, pa.int64()), signed(h[many])]),
-            "group_key": pa.concat_arrays([pa.nulls(k, pa.int64()), signed(g[many])]),
-            "place": pa.concat_arrays([pa.nulls(k, pa.int64()), signed(place[many])]),
-            "n": pa.concat_arrays([pa.nulls(k, pa.int64()), signed(n[many])]),
+            "a": pa.concat_arrays([signed(a[new]), none(m + c)]),
+            "b": pa.concat_arrays([signed(b[new]), none(m + c)]),
+            "times": pa.concat_arrays([pa.array(times, pa.int64()), none(m + c)]),
+            "na": pa.concat_arrays([signed(na[new]), none(m + c)]),
+            "nb": pa.concat_arrays([signed(nb[new]), none(m + c)]),
+            "shingle": pa.concat_arrays([none(k), signed(h[many]), none(c)]),
+            "place": pa.concat_arrays([none(k), signed(place[many]), none(c)]),
+            "n": pa.concat_arrays([none(k), signed(n[many]), none(c)]),
+            "group_key": pa.concat_arrays([none(k), signed(g[many]), column("group_key")]),
+            "set_key": pa.concat_arrays([none(k + m), column("set_key")]),
         }
     )
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """All pairs of groups of a list that may link and are not within one component."""
+    """All pairs of groups of a list that may link and are not within one component, with the number of lists and sizes."""
     h, g, place, n, low, high = (table.column(c).to_numpy() for c in ("shingle", "group_key", "place", "n", "low", "high"))
     by = np.lexsort((g, h))
-    h, g, place, n, low, high = h[by], g[by], place[by], n[by], low[by], high[by]
-    begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    begin = np.flatnonzero(np.concatenate([[True], h[by[1:]] != h[by[:-1]]]))
     size = np.diff(np.append(begin, len(h)))
-    found_a, found_b, held = [], [], 0
+    # lists within one component go at once
+    apart = np.minimum.reduceat(low[by], begin) != np.maximum.reduceat(high[by], begin)
+    by, size = by[np.repeat(apart, size)], size[apart]
+    begin = np.cumsum(size) - size
+    h, g, place, n, low, high = h[by], g[by], place[by], n[by], low[by], high[by]
+    found: list[tuple[np.ndarray, ...]] = [tuple(np.zeros(0, np.int64) for _ in range(5))]
+    held = 0
 
     def unique() -> None:
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        a, b, times, na, nb = (np.concatenate([f[i] for f in found]) for i in range(5))
         by = np.lexsort((b, a))
-        a, b = a[by], b[by]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-        found_a[:], found_b[:] = [a[new]], [b[new]]
+        a, b, times, na, nb = a[by], b[by], times[by], na[by], nb[by]
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+        found[:] = [(a[new], b[new], np.add.reduceat(times, new) if len(new) else times, na[new], nb[new])]
 
     # each posting meets those after it in its list, a block of postings at a time
     after = np.repeat(begin + size, size) - np.arange(len(h)) - 1
@@ -272,83 +296,74 @@ def _across(table: pa.Table) -> pa.Table:
         apart = ~((low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j]))
         i, j = i[apart], j[apart]
         ok = _may_link(n, place, i, j)
-        found_a.append(g[i[ok]]), found_b.append(g[j[ok]])
-        held += int(ok.sum())
+        i, j = i[ok], j[ok]
+        found.append((g[i], g[j], np.ones(len(i), np.int64), n[i].astype(np.int64), n[j].astype(np.int64)))
+        held += len(i)
         if held > PAIR_BLOCK:
             unique()
             held = 0
         lo = hi
-    if found_a:
-        unique()
-    return pa.table({"a": pa.array(found_a[0] if found_a else [], pa.int64()), "b": pa.array(found_b[0] if found_b else [], pa.int64())})
+    unique()
+    return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "times", "na", "nb"), found[0])})
 
 
-def _verified(docs: DataFrame, where: DataFrame, pairs: DataFrame, size: int, name: str) -> DataFrame:
+def _verified(docs: DataFrame, homes: DataFrame, pairs: DataFrame, size: int, name: str) -> DataFrame:
     """The pairs (a, b) of set keys whose sets have a Jaccard similarity of 3/4 or more.
 
-    ``where`` names one document per set: set_key, home (doc_id, text_key).
+    ``homes`` names one document per set: set_key, home (doc_id, text_key).
     """
     pairs = stage(pairs, f"{name}_pairs")
-    wanted = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct()
-    homes = stage(where.select("set_key", "home").join(wanted, "set_key", "left_semi"), f"{name}_homes")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, h, at in _sets(b.column("text"), size):
-                m = len(at) - 1
-                h = h.astype("<u8")
-                blobs = [h[at[i] : at[i + 1]].tobytes() for i in range(m)]
-                yield pa.RecordBatch.from_arrays([b.column("set_key").slice(first, m), pa.array(blobs, pa.binary())], names=["set_key", "items"])
-
-    ids = homes.select(F.col("home.text_key").alias("key"))
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("_parts"))
+    heads = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), F.col("a").alias("set_key"), F.lit(False).alias("partner"))
+    partners = pairs.join(hubs, "a").select("a", F.pmod(F.hash("b"), F.col("_parts")).alias("part"), F.col("b").alias("set_key"), F.lit(True).alias("partner"))
     at_home = homes.select("set_key", F.col("home.doc_id").alias("_doc"), F.col("home.text_key").alias("_key"))
+    roles = stage(heads.unionByName(partners).join(at_home, "set_key"), f"{name}_roles")
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key"))
-    texts = maybe_in(_texts(docs), ids, F.col("text_key")).join(at_home, same).select("set_key", "text")
-    sets = stage(texts.mapInArrow(run, "set_key long, items binary"), f"{name}_sets")
+    texts = maybe_in(_texts(docs), roles.select(F.col("_key").alias("key")), F.col("text_key")).join(roles, same)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, whole = None, None
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                common = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                keep.append(100 * common >= 75 * (len(p) + len(q) - common))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = sets.select(F.col("set_key").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("set_key").alias("b"), F.col("items").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return stage(both.mapInArrow(check, "a long, b long").distinct(), f"{name}_links")
-
+            hubs, keys, partner = (b.column(c).to_pylist() for c in ("a", "set_key", "partner"))
+            found = []
+            for first, h, at in _sets(b.column("text"), size):
+                for i in range(len(at) - 1):
+                    own, r = h[at[i] : at[i + 1]], first + i
+                    if not partner[r]:
+                        hub, whole = hubs[r], own.copy()
+                    elif hub == hubs[r]:
+                        common = len(np.intersect1d(whole, own, assume_unique=True))
+                        if 100 * common >= 75 * (len(whole) + len(own) - common):
+                            found.append((hub, keys[r]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["a", "b"])
 
-def _pair(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    met = texts.select("a", "part", "partner", "set_key", "text").repartition("a", "part").sortWithinPartitions("a", "part", "partner")
+    return stage(met.mapInArrow(check, "a long, b long").distinct(), f"{name}_links")
 
 
 def jaccard_components(docs: DataFrame, size: int = SIZE, list_rows: int = LIST_ROWS) -> DataFrame:
     """One row per document (doc_id, text): doc_id, text_key, n_shingles, component_id."""
+    small_batches(docs)
     ident, counts = profiles(docs, size)
     home = F.min(F.struct("doc_id", "text_key")).alias("home")
     homes = stage(ident.filter("n > 0").groupBy("set_key").agg(home, F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "homes")
     total = homes.agg(F.sum(F.expr("n - ceil(0.75 * n) + 1"))).first()[0] or 0
     parts = int(total // list_rows) + 1
-    stored = postings(docs, counts, parts, size)
-    members = stored.filter("part IS NULL").select("group_key", "set_key").distinct()
-    members = stage(members, "members")
-    found = stage(
-        stored.filter("part IS NOT NULL").select("part", "rows", "groups", "blob").groupBy("part").applyInArrow(
-            _leaders, "a long, b long, times long, shingle long, group_key long, place long, n long"
-        ),
-        "lists",
-    )
+    met = postings(docs, counts, parts, size).groupBy("part")
+    found = stage(met.applyInArrow(_leaders, "a long, b long, times long, na long, nb long, shingle long, place long, n long, group_key long, set_key long"), "lists")
+    members = found.filter("set_key IS NOT NULL").select("group_key", "set_key")
     heads = stage(members.groupBy("group_key").agg(F.min("set_key").alias("head")), "heads")
-    proposed = found.filter("a IS NOT NULL").groupBy("a", "b").agg(F.sum("times").alias("times"))
+    proposed = found.filter("a IS NOT NULL").groupBy("a", "b")
+    proposed = proposed.agg(F.sum("times").alias("times"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    # a list proposes its first group only, so half of the shared shingles are enough for this round
+    proposed = proposed.filter(f"2 * times >= {SHARED}")
     best = proposed.groupBy("b").agg(F.max(F.struct("times", "a")).alias("_a")).select(F.col("_a.a").alias("a"), "b")
     star = (
         best.join(heads.select(F.col("group_key").alias("a"), F.col("head").alias("ha")), "a")
         .join(heads.select(F.col("group_key").alias("b"), F.col("head").alias("hb")), "b")
-        .select(*_pair("ha", "hb"))
-        .union(members.join(heads, "group_key").filter("set_key <> head").select(*_pair("set_key", "head")))
+        .select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+        .union(members.join(heads, "group_key").filter("set_key <> head").select("head", "set_key"))
+        .filter("a <> b")
         .distinct()
     )
     first = _verified(docs, homes, star, size, "star")
@@ -360,14 +375,13 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, list_rows: int = LIST_
     )
     span = placed.groupBy("group_key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     lists = found.filter("shingle IS NOT NULL").select("shingle", "group_key", "place", "n")
-    # lists within one component go before they are gathered
-    mixed = stage(lists.join(span, "group_key"), "mixed")
-    open_lists = mixed.groupBy("shingle").agg(F.min("low").alias("_low"), F.max("high").alias("_high")).filter("_low <> _high").select("shingle")
-    rest = mixed.join(open_lists, "shingle", "left_semi").withColumn("part", F.pmod(F.xxhash64("shingle"), F.lit(parts)))
-    pairs = rest.groupBy("part").applyInArrow(_across, "a long, b long").distinct()
+    rest = lists.join(span, "group_key").withColumn("part", F.pmod(F.xxhash64("shingle"), F.lit(parts)))
+    pairs = rest.groupBy("part").applyInArrow(_across, "a long, b long, times long, na long, nb long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    pairs = pairs.filter(f"times >= {SHARED}").select("a", "b")
     one = lambda x: placed.select(F.col("group_key").alias(x), F.col("set_key").alias(f"s{x}"), F.col("label").alias(f"l{x}"))
-    across = pairs.join(one("a"), "a").join(one("b"), "b").filter("la <> lb").select(*_pair("sa", "sb"))
-    inside = one("a").join(one("a").select("a", F.col("sa").alias("sb"), F.col("la").alias("lb")), "a").filter("sa < sb AND la <> lb").select(*_pair("sa", "sb"))
+    across = pairs.join(one("a"), "a").join(one("b"), "b").filter("la <> lb").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"))
+    inside = one("a").join(one("a").select("a", F.col("sa").alias("sb"), F.col("la").alias("lb")), "a").filter("sa < sb AND la <> lb").select("sa", "sb")
     second = _verified(docs, homes, across.union(inside).distinct(), size, "across")
     label = components(first.union(second), "set_components")
 

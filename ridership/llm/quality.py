@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridership.llm.common import small_batches
 from ridership.llm.text import LOWER, slices, spans_hash, words
 from ridership.session import stage
 
@@ -188,6 +189,7 @@ def _shrink(sites: DataFrame, prior: str) -> Column:
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.5, max_labelled: int = MAX_LABELLED, seed: int = 9) -> DataFrame:
     """doc_id, text_key, host, path, p (document alone), host_rate, path_rate, posterior, keep; one row per document."""
+    small_batches(docs)
     scored = stage(evidence(docs, fit_models(docs, labels, max_labelled, seed), host, path), "evidence")
     paths = stage(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
     rate = paths.agg((F.sum("s") / F.sum("n")).alias("r")).scalar()

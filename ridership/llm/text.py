@@ -10,7 +10,7 @@ import pyarrow as pa
 U64 = np.uint64
 # odd, so that powers of it can be divided out modulo 2^64
 BASE = 0x9E3779B97F4A7C15
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18
 
 # space, \t, \n, \v, \f, \r
 IS_SPACE = np.zeros(256, bool)
@@ -104,7 +104,7 @@ def shingles(data: np.ndarray, off: np.ndarray, size: int = 5) -> tuple[np.ndarr
     begin = np.cumsum(count) - count
     n = len(word)
     total = np.zeros(n, U64)
-    for i in range(size):
+    for i in range(min(size, n)):
         # words past the end of a short row do not count
         here = mix(word[i:] * U64(2 * i + 3) + U64(i + 1))
         same = row[i:] == row[: n - i]
