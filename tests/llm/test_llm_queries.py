@@ -72,7 +72,7 @@ def test_op2_contract(spark, duck):
 def test_op7_contract(spark, duck):
     rows = QUERIES["op7_sharding"](spark, SMALL).collect()
     texts = dict(duck.execute("SELECT doc_id, text FROM documents").fetchall())
-    assert Counter(r.doc_id for r in rows) == Counter(texts)
+    assert Counter(r.doc_id for r in rows) == Counter(list(texts))
     for r in rows:
         raw = (texts[r.doc_id] or "").encode()
         assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
