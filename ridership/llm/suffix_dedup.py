@@ -29,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridership.llm.common import maybe_in
+from ridership.llm.common import maybe_in, small_batches
 from ridership.llm.text import U64, mix, powers, ranges, slices
 from ridership.session import stage
 
@@ -41,11 +42,20 @@ SPAN = 50
 GRAM = 20
 LEFT = SPAN - GRAM
 WIDTH = LEFT + SPAN
-PART_ROWS = 2_000_000
-SHARD_BYTES = 16 << 20
+PART_ROWS = 1_000_000
+SHARD_BYTES = 2 << 20
 LAST = 2**63 - 1
 _BITS = U64(48)
-_WEIGHTS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(WIDTH)], U64)
+
+
+def _row_hash(rows: np.ndarray) -> np.ndarray:
+    """64-bit hash of each row of bytes."""
+    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    out = np.zeros(len(rows), U64)
+    for word in padded.view("<u8").T:
+        out = mix(out * U64(0x9E3779B97F4A7C15) + word)
+    return out
 
 
 def _planes(*columns: np.ndarray) -> bytes:
@@ -95,7 +105,8 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     most = _slide(np.concatenate([pad, least, pad]), LEFT + 1, np.maximum)
     at = np.flatnonzero(h + U64(1) == most)
     row = np.searchsorted(off, at, "right") - 1
-    return h[at], row, at - off[row]
+    # the least of many hashes are small numbers; mixed again they spread over the parts
+    return mix(h[at]) >> (U64(64) - _BITS), row, at - off[row]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -112,7 +123,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 POSTING = ("<u8", "<u4", "<u4")  # hash, row of the text table, place
 
 
-def _posted(rows: DataFrame, parts: int, flush: int = 4_000_000) -> DataFrame:
+def _posted(rows: DataFrame, parts: int, flush: int = 1_000_000) -> DataFrame:
     """Packed anchors of the distinct texts of each task: part, rows, texts, blob."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +211,7 @@ def _removals(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list
 
 def _earliest(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For equal rows of bytes: a number of the set of equal rows, and the least ``at`` in it."""
-    h = mix((rows.astype(U64) + U64(1)) @ _WEIGHTS[: rows.shape[1]])
+    h = _row_hash(rows)
     by = np.lexsort((at, h))
     new = np.ones(len(h), bool)
     # compared by hash first, then byte by byte, so a clash of hashes only splits a set
@@ -358,10 +369,9 @@ def repeated_strings(contexts: np.ndarray, at: np.ndarray, valid: np.ndarray, bl
 CONTEXT = ("<i8", "<u4", "u1", "u1")  # row of the text table, place, bytes to the left, to the right
 
 
-def _contexts(found: DataFrame, parts: int, flush: int = 600_000) -> DataFrame:
-    """Contexts of the shared anchors (text_key, at, text, places), packed by shard; and what a task can remove itself.
-
-    Columns: part, rows, texts, blob of a shard; or text_key, spans.
+def _contexts(found: DataFrame, parts: int, flush: int = 200_000) -> DataFrame:
+    """Contexts of the shared anchors (text_key, at, text, places), packed by shard: part, rows, texts, blob. What a task
+    can remove itself (text_key, spans) is dealt over the shards as well.
     """
     names = ["part", "rows", "texts", "blob", "text_key", "spans"]
 
@@ -378,13 +388,14 @@ def _contexts(found: DataFrame, parts: int, flush: int = 600_000) -> DataFrame:
             gone = at > least
             keys, spans = _removals(key[gone], place[gone] - left[gone], place[gone] + right[gone])
             if keys:
-                n = len(keys)
+                n, own = len(keys), np.array(keys, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [*[pa.nulls(n, pa.int32())] * 3, pa.nulls(n, pa.binary()), pa.array(keys, pa.int64()), pa.array(spans, pa.binary())], names=names
+                    [pa.array((own % parts).astype(np.int32)), *[pa.nulls(n, pa.int32())] * 2, pa.nulls(n, pa.binary()), pa.array(own), pa.array(spans, pa.binary())],
+                    names=names,
                 )
             use = ~gone
             rows, row, place, left, right = rows[use], row[use], place[use], left[use], right[use]
-            gram = mix((rows[:, LEFT : LEFT + GRAM].astype(U64) + U64(1)) @ _WEIGHTS[:GRAM])
+            gram = _row_hash(rows[:, LEFT : LEFT + GRAM])
             by = np.argsort(gram)
             part = ((gram[by] >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32)
             cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(by) else np.zeros(1, np.int64)
@@ -413,11 +424,13 @@ def _contexts(found: DataFrame, parts: int, flush: int = 600_000) -> DataFrame:
                 size = np.diff(off)[row]
                 left, right = np.minimum(place, LEFT), np.minimum(size - place, SPAN)
                 padded = np.concatenate([np.full(LEFT, 255, np.uint8), data, np.full(SPAN, 255, np.uint8)])
+                around = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)
                 for lo in range(0, len(row), flush):
                     part = slice(lo, lo + flush)
-                    rows = padded[(off[row[part]] + place[part])[:, None] + np.arange(WIDTH)]
-                    step = np.arange(WIDTH) - LEFT
-                    rows[(step < -left[part][:, None]) | (step >= right[part][:, None])] = 255  # not of this text
+                    rows = around[off[row[part]] + place[part]]
+                    step = (np.arange(WIDTH) - LEFT).astype(np.int8)
+                    low, high = -left[part].astype(np.int8)[:, None], right[part].astype(np.int8)[:, None]
+                    rows[(step < low) | (step >= high)] = 255  # not of this text
                     held.append((rows, row[part] + base, place[part], left[part], right[part]))
                     waiting += len(rows)
                 keys_held.append(all_keys[first : first + m])
@@ -432,7 +445,16 @@ def _contexts(found: DataFrame, parts: int, flush: int = 600_000) -> DataFrame:
 
 
 def _shard(table: pa.Table) -> pa.Table:
-    """What a shard finds to remove: text_key, spans."""
+    """What a shard finds to remove, and what came to it found: text_key, spans."""
+    known = table.filter(pc.is_valid(table.column("spans")))
+    known_keys = known.column("text_key").to_numpy()
+    known_spans = [np.frombuffer(x, "<u4").reshape(-1, 2).astype(np.int64) for x in known.column("spans").to_pylist()]
+    known_rows = np.concatenate([*known_spans, np.zeros((0, 2), np.int64)])
+    known_keys = np.repeat(known_keys, np.array([len(x) for x in known_spans], np.int64)).astype(np.int64)
+    table = table.filter(pc.is_valid(table.column("blob")))
+    if not len(table):
+        keys, spans = _removals(known_keys, known_rows[:, 0], known_rows[:, 1])
+        return pa.table({"text_key": pa.array(keys, pa.int64()), "spans": pa.array(spans, pa.binary())})
     got: list[list] = [[], [], [], [], [], []]
     for rows, texts, blob in zip(*[table.column(c).to_pylist() for c in ("rows", "texts", "blob")]):
         raw = zstandard.ZstdDecompressor().decompress(blob)
@@ -465,9 +487,9 @@ def _shard(table: pa.Table) -> pa.Table:
     where = keep[by][np.repeat(lo, hi - lo) + ranges(hi - lo)]
     begin = place[where] - LEFT + np.repeat(offset, hi - lo)
     keys, spans = _removals(
-        np.concatenate([key[gone], key[where]]),
-        np.concatenate([place[gone] - left[gone], begin]),
-        np.concatenate([place[gone] + right[gone], begin + SPAN]),
+        np.concatenate([known_keys, key[gone], key[where]]),
+        np.concatenate([known_rows[:, 0], place[gone] - left[gone], begin]),
+        np.concatenate([known_rows[:, 1], place[gone] + right[gone], begin + SPAN]),
     )
     return pa.table({"text_key": pa.array(keys, pa.int64()), "spans": pa.array(spans, pa.binary())})
 
@@ -505,6 +527,7 @@ def remove_repeats(docs: DataFrame, part_rows: int = PART_ROWS) -> tuple[DataFra
     The first has one row per document: doc_id, text_key, n_bytes, n_removed, n_spans, kept_sha256, emptied (lost as an
     exact copy). The second has text_key, n_bytes, kept, starts, ends.
     """
+    small_batches(docs)
     rows = _keyed(docs)
     whole = rows.select("doc_id", "at", "text_key", "n_bytes", F.sha2("text", 256).alias("sha"))
     ident = stage(whole, "ident")
@@ -517,13 +540,12 @@ def remove_repeats(docs: DataFrame, part_rows: int = PART_ROWS) -> tuple[DataFra
     shared = stage(posted.groupBy("part").applyInArrow(_shared, "text_key long, places binary"), "shared")
     places = shared.groupBy("text_key").agg(F.collect_list("places").alias("places"))
     keys = shared.select(F.col("text_key").alias("key"))
-    first = texts.select("text_key", "n_bytes", F.col("first_at").alias("at"))
+    first = texts.select("text_key", "n_bytes", F.col("first_at").alias("at")).join(places, "text_key")
     chosen = maybe_in(long_enough.drop("doc_id"), keys, F.col("text_key"))
-    found = chosen.join(first, ["text_key", "n_bytes", "at"]).join(places, "text_key")
-    found = stage(found.dropDuplicates(["text_key", "n_bytes"]).select("text_key", "n_bytes", "at", "text", "places"), "found")
-    contexts = stage(_contexts(found, parts), "contexts")
-    sharded = contexts.filter("part IS NOT NULL").select("part", "rows", "texts", "blob").groupBy("part").applyInArrow(_shard, "text_key long, spans binary")
-    spans = stage(contexts.filter("part IS NULL").select("text_key", "spans").union(sharded), "spans")
+    one = ["text_key", "n_bytes", "at"]
+    found = stage(chosen.join(first, one).dropDuplicates(one).select(*one, "text", "places"), "found")
+    met = _contexts(found, 4 * parts).groupBy("part")
+    spans = stage(met.applyInArrow(_shard, "text_key long, spans binary"), "spans")
     cut = stage(_cut(found, spans), "cut")
     lost = ident.join(texts.drop("copies"), ["text_key", "n_bytes"]).join(cut.select("text_key", "n_bytes", "n_removed", "n_spans", "kept_sha256"), ["text_key", "n_bytes"], "left")
     copy = (F.col("at") > F.col("first_at")) & (F.col("n_bytes") >= SPAN)
