@@ -167,7 +167,43 @@ def _posted(rows: DataFrame, parts: int, flush: int = 1_000_000) -> DataFrame:
     return rows.mapInArrow(run, "part int, rows int, texts int, blob binary")
 
 
-def _shared(table: pa.Table) -> pa.Table:
+def _dealt(keys: list, blobs: list[bytes], parts: int) -> pa.Table:
+    """Blobs of texts packed by part of the texts, so that a part of anchors sends a row to each of them at most."""
+    keys = np.array(keys, np.int64)
+    part = keys % parts
+    by = np.argsort(part, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], part[by[1:]] != part[by[:-1]], [True]])) if len(keys) else np.zeros(1, np.int64)
+    out: list[list] = [[], [], []]
+    for lo, hi in zip(cut[:-1], cut[1:]):
+        own = [blobs[i] for i in by[lo:hi]]
+        sizes = np.array([len(x) for x in own], "<i8")
+        packed = keys[by[lo:hi]].astype("<i8").tobytes() + sizes.tobytes() + b"".join(own)
+        for c, v in zip(out, (int(part[by[lo]]), hi - lo, zstandard.compress(packed, 1))):
+            c.append(v)
+    return pa.table({"part": pa.array(out[0], pa.int32()), "texts": pa.array(out[1], pa.int32()), "blob": pa.array(out[2], pa.binary())})
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """The blobs of each text of a part, one after the other: text_key, blob."""
+    found: dict[int, list[bytes]] = {}
+    for texts, blob in zip(*[table.column(c).to_pylist() for c in ("texts", "blob")]):
+        raw = zstandard.decompress(blob)
+        keys, sizes = np.frombuffer(raw, "<i8", 2 * texts).reshape(2, texts)
+        at = 16 * texts
+        for key, size in zip(keys.tolist(), sizes.tolist()):
+            found.setdefault(key, []).append(raw[at : at + size])
+            at += size
+    return pa.table({"text_key": pa.array(list(found), pa.int64()), "blob": pa.array([b"".join(x) for x in found.values()], pa.binary())})
+
+
+def _gather(dealt: DataFrame) -> DataFrame:
+    return dealt.groupBy("part").applyInArrow(_gathered, "text_key long, blob binary")
+
+
+DEALT = "part int, texts int, blob binary"
+
+
+def _shared(parts: int, table: pa.Table) -> pa.Table:
     """Positions, text by text, of the anchors of a part that are in two or more texts."""
     got = []
     for rows, texts, blob in zip(*[table.column(c).to_pylist() for c in ("rows", "texts", "blob")]):
@@ -185,7 +221,7 @@ def _shared(table: pa.Table) -> pa.Table:
     key, place = key[by], place[by].astype("<u4")
     cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, np.int64)
     blobs = [place[lo:hi].tobytes() for lo, hi in zip(cut[:-1], cut[1:])]
-    return pa.table({"text_key": pa.array(key[cut[:-1]] if len(key) else [], pa.int64()), "places": pa.array(blobs, pa.binary())})
+    return _dealt(key[cut[:-1]].tolist() if len(key) else [], blobs, parts)
 
 
 def _merge(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -414,7 +450,7 @@ def _contexts(found: DataFrame, parts: int, flush: int = 200_000) -> DataFrame:
             )
 
         for b in batches:
-            places = [np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in b.column("places").to_pylist()]
+            places = [np.frombuffer(x, "<u4").astype(np.int64) for x in b.column("places").to_pylist()]
             all_keys = np.stack([b.column("text_key").to_numpy(), b.column("at").to_numpy()], axis=1)
             for first, data, off in slices(b.column("text")):
                 m = len(off) - 1
@@ -444,7 +480,7 @@ def _contexts(found: DataFrame, parts: int, flush: int = 200_000) -> DataFrame:
     return found.mapInArrow(run, "part int, rows int, texts int, blob binary, text_key long, spans binary")
 
 
-def _shard(table: pa.Table) -> pa.Table:
+def _shard(parts: int, table: pa.Table) -> pa.Table:
     """What a shard finds to remove, and what came to it found: text_key, spans."""
     known = table.filter(pc.is_valid(table.column("spans")))
     known_keys = known.column("text_key").to_numpy()
@@ -453,8 +489,7 @@ def _shard(table: pa.Table) -> pa.Table:
     known_keys = np.repeat(known_keys, np.array([len(x) for x in known_spans], np.int64)).astype(np.int64)
     table = table.filter(pc.is_valid(table.column("blob")))
     if not len(table):
-        keys, spans = _removals(known_keys, known_rows[:, 0], known_rows[:, 1])
-        return pa.table({"text_key": pa.array(keys, pa.int64()), "spans": pa.array(spans, pa.binary())})
+        return _dealt(*_removals(known_keys, known_rows[:, 0], known_rows[:, 1]), parts)
     got: list[list] = [[], [], [], [], [], []]
     for rows, texts, blob in zip(*[table.column(c).to_pylist() for c in ("rows", "texts", "blob")]):
         raw = zstandard.ZstdDecompressor().decompress(blob)
@@ -491,7 +526,7 @@ def _shard(table: pa.Table) -> pa.Table:
         np.concatenate([known_rows[:, 0], place[gone] - left[gone], begin]),
         np.concatenate([known_rows[:, 1], place[gone] + right[gone], begin + SPAN]),
     )
-    return pa.table({"text_key": pa.array(keys, pa.int64()), "spans": pa.array(spans, pa.binary())})
+    return _dealt(keys, spans, parts)
 
 
 def _cut(found: DataFrame, spans: DataFrame) -> DataFrame:
@@ -504,7 +539,7 @@ def _cut(found: DataFrame, spans: DataFrame) -> DataFrame:
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
             for text, blobs in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist()):
-                pairs = np.frombuffer(b"".join(blobs), "<u4").reshape(-1, 2).astype(np.int64)
+                pairs = np.frombuffer(blobs, "<u4").reshape(-1, 2).astype(np.int64)
                 start, end = _merge(pairs[:, 0], pairs[:, 1])
                 edges = [0, *np.stack([start, end], axis=1).ravel().tolist(), len(text)]
                 kept = b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
@@ -516,7 +551,7 @@ def _cut(found: DataFrame, spans: DataFrame) -> DataFrame:
                 [b.column("text_key"), b.column("n_bytes"), *cols], names=["text_key", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "starts", "ends"]
             )
 
-    per_text = spans.groupBy("text_key").agg(F.collect_list("spans").alias("spans"))
+    per_text = spans.withColumnRenamed("blob", "spans")
     schema = "text_key long, n_bytes long, n_removed long, n_spans long, kept string, kept_sha256 string, starts array<long>, ends array<long>"
     return found.select("text_key", "n_bytes", "text").join(per_text, "text_key").mapInArrow(run, schema)
 
@@ -537,15 +572,16 @@ def remove_repeats(docs: DataFrame, part_rows: int = PART_ROWS) -> tuple[DataFra
     parts = int(total // (16 * part_rows)) + 1
     long_enough = rows.filter(F.col("n_bytes") >= SPAN)
     posted = _posted(long_enough.select("text_key", "text"), parts)
-    shared = stage(posted.groupBy("part").applyInArrow(_shared, "text_key long, places binary"), "shared")
-    places = shared.groupBy("text_key").agg(F.collect_list("places").alias("places"))
+    met = posted.groupBy("part").applyInArrow(lambda t: _shared(parts, t), DEALT)
+    shared = stage(_gather(met), "shared")
+    places = shared.withColumnRenamed("blob", "places")
     keys = shared.select(F.col("text_key").alias("key"))
     first = texts.select("text_key", "n_bytes", F.col("first_at").alias("at")).join(places, "text_key")
     chosen = maybe_in(long_enough.drop("doc_id"), keys, F.col("text_key"))
     one = ["text_key", "n_bytes", "at"]
     found = stage(chosen.join(first, one).dropDuplicates(one).select(*one, "text", "places"), "found")
     met = _contexts(found, 4 * parts).groupBy("part")
-    spans = stage(met.applyInArrow(_shard, "text_key long, spans binary"), "spans")
+    spans = stage(_gather(met.applyInArrow(lambda t: _shard(parts, t), DEALT)), "spans")
     cut = stage(_cut(found, spans), "cut")
     lost = ident.join(texts.drop("copies"), ["text_key", "n_bytes"]).join(cut.select("text_key", "n_bytes", "n_removed", "n_spans", "kept_sha256"), ["text_key", "n_bytes"], "left")
     copy = (F.col("at") > F.col("first_at")) & (F.col("n_bytes") >= SPAN)
