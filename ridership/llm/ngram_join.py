@@ -8,10 +8,12 @@ with equal prefixes and sizes form a group, and only groups are posted under the
 1. Postings travel packed, by hash of the shingle. Each list proposes pairs (first group, other group) that pass the
    size and position filters; each group keeps the partner met most often; the members are verified on whole sets.
    Verified links give components, so a large group of near copies is one component after a link for each member.
-2. The lists of two and more groups meet again with the components. Pairs of groups whose members are all in one
-   component need no look; all other pairs that pass the filters and share as many prefix shingles as linked sets must
-   are expanded to their members and verified. So no link between different components is missed, and near copies are
-   never paired all with all.
+2. The lists of two and more groups meet again with the components, long ones cut into cells of chunks over many tasks.
+   Pairs of groups whose members are all in one component need no look. Of the others a pair is taken only at its first
+   few shared shingles, where the rest of both sets after the shingle must reach the overlap; the smaller set must then
+   hold the shingle early, so a passage that stands late in every prefix pairs nothing. What is left and shares as many
+   prefix shingles as linked sets must is expanded to its members and verified. So no link between different components
+   is missed, and near copies are never paired all with all.
 
 Verification brings the texts of the partners of a set to that set's task, a hub with many partners in several parts;
 whole sets are made again from the texts there. A bitmap of fixed size keeps texts without a pair out of that shuffle.
@@ -42,6 +44,9 @@ BLOCKS = 16
 LIST_ROWS = 1_000_000
 PAIR_BLOCK = 1_000_000
 HUB_ROWS = 200
+# Shared shingles that may stand before the one at which a pair is taken. A linked pair is taken at this many and one more
+# (or at all it must share in the prefixes, if fewer), as its j-th shared shingle has at most j shared ones before it.
+SPARE = 2
 # Shingles that the prefixes of two linked sets share at least: the least overlap, less what stands after a prefix. The
 # first so many common shingles stand in both prefixes.
 SHARED = "(3 * (na + nb) + 6) div 7 - greatest((3 * na + 3) div 4, (3 * nb + 3) div 4) + 1"
@@ -236,6 +241,8 @@ def _leaders(table: pa.Table) -> pa.Table:
     begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     count = np.diff(np.append(begin, len(h)))
     many = np.repeat(count > 1, count)
+    postings = np.repeat(count, count)
+    early = np.repeat(np.add.reduceat(_early(n, place).astype(np.int64), begin) if len(h) else count, count)
     first = np.repeat(begin, count)
     other = np.flatnonzero(many & (first != np.arange(len(h))))
     ok = _may_link(n, place, first[other], other)
@@ -258,23 +265,44 @@ def _leaders(table: pa.Table) -> pa.Table:
             "shingle": pa.concat_arrays([none(k), signed(h[many]), none(c)]),
             "place": pa.concat_arrays([none(k), signed(place[many]), none(c)]),
             "n": pa.concat_arrays([none(k), signed(n[many]), none(c)]),
+            "postings": pa.concat_arrays([none(k), signed(postings[many]), none(c)]),
+            "early": pa.concat_arrays([none(k), signed(early[many]), none(c)]),
             "group_key": pa.concat_arrays([none(k), signed(g[many]), column("group_key")]),
             "set_key": pa.concat_arrays([none(k + m), column("set_key")]),
         }
     )
 
 
+def _early(n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Whether a set of the same size or a larger one can be taken at this place."""
+    return 7 * (n.astype(np.int64) - place.astype(np.int64) + SPARE) >= 6 * n.astype(np.int64)
+
+
+def _dealt(chunk: int) -> str:
+    """Cells (i, j, role) of a posting: a list has a row of cells for each chunk of its early postings, which are the smaller
+    sets of pairs (role 1), and a column for each chunk of all postings, the larger sets (role 2). Any pair has one cell."""
+    own = "n + 7 * {0} >= 7 * place".format(SPARE)
+    rows, cols = (f"cast(({c} + {chunk} - 1) div {chunk} as int)" for c in ("early", "postings"))
+    i, j = (f"cast(pmod(xxhash64(group_key), {x}) as int)" for x in (rows, cols))
+    larger = f"transform(sequence(0, {rows} - 1), r -> struct(r as i, {j} as j, if({own} and r = {i}, 3, 2) as role))"
+    smaller = f"transform(filter(sequence(0, {cols} - 1), c -> c <> {j} and {own}), c -> struct({i} as i, c as j, 1 as role))"
+    return f"concat({larger}, {smaller})"
+
+
 def _across(table: pa.Table) -> pa.Table:
-    """All pairs of groups of a list that may link and are not within one component, with the number of lists and sizes."""
-    h, g, place, n, low, high = (table.column(c).to_numpy() for c in ("shingle", "group_key", "place", "n", "low", "high"))
-    by = np.lexsort((g, h))
-    begin = np.flatnonzero(np.concatenate([[True], h[by[1:]] != h[by[:-1]]]))
+    """The pairs of groups that meet in a cell of a list early enough to link and are not within one component, with the
+    number of lists and sizes; the smaller set is the first."""
+    names = ("shingle", "i", "j", "group_key", "place", "n", "low", "high", "role")
+    h, row, col, g, place, n, low, high, role = (table.column(c).to_numpy() for c in names)
+    by = np.lexsort((g, n, col, row, h))
+    new = (h[by[1:]] != h[by[:-1]]) | (row[by[1:]] != row[by[:-1]]) | (col[by[1:]] != col[by[:-1]])
+    begin = np.flatnonzero(np.concatenate([[True], new]))
     size = np.diff(np.append(begin, len(h)))
-    # lists within one component go at once
+    # cells within one component go at once
     apart = np.minimum.reduceat(low[by], begin) != np.maximum.reduceat(high[by], begin)
     by, size = by[np.repeat(apart, size)], size[apart]
-    begin = np.cumsum(size) - size
-    h, g, place, n, low, high = h[by], g[by], place[by], n[by], low[by], high[by]
+    g, place, n, low, high, role = (x[by] for x in (g, place, n, low, high, role))
+    cell = np.repeat(np.arange(len(size)), size)
     found: list[tuple[np.ndarray, ...]] = [tuple(np.zeros(0, np.int64) for _ in range(5))]
     held = 0
 
@@ -285,18 +313,20 @@ def _across(table: pa.Table) -> pa.Table:
         new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
         found[:] = [(a[new], b[new], np.add.reduceat(times, new) if len(new) else times, na[new], nb[new])]
 
-    # each posting meets those after it in its list, a block of postings at a time
-    after = np.repeat(begin + size, size) - np.arange(len(h)) - 1
+    # an early posting meets those after it in its cell that are not too large for its place, a block of postings at a time
+    most = np.minimum(4 * n - 7 * place + 7 * SPARE, 4 * n) // 3
+    end = np.searchsorted((cell << 32) + n, (cell << 32) + np.maximum(most, 0), "right")
+    after = np.where(role & 1, np.maximum(end - np.arange(len(n)) - 1, 0), 0)
     total = np.cumsum(after)
     lo = 0
-    while lo < len(h):
+    while lo < len(n):
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIR_BLOCK, "right")))
         i = np.repeat(np.arange(lo, hi), after[lo:hi])
         j = i + 1 + ranges(after[lo:hi])
+        ok = (role[j] & 2 > 0) & (7 * (n[j] - place[j] + SPARE) >= 3 * (n[i] + n[j]))
+        i, j = i[ok], j[ok]
         apart = ~((low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j]))
         i, j = i[apart], j[apart]
-        ok = _may_link(n, place, i, j)
-        i, j = i[ok], j[ok]
         found.append((g[i], g[j], np.ones(len(i), np.int64), n[i].astype(np.int64), n[j].astype(np.int64)))
         held += len(i)
         if held > PAIR_BLOCK:
@@ -350,7 +380,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, list_rows: int = LIST_
     total = homes.agg(F.sum(F.expr("n - ceil(0.75 * n) + 1"))).first()[0] or 0
     parts = int(total // list_rows) + 1
     met = postings(docs, counts, parts, size).groupBy("part")
-    found = stage(met.applyInArrow(_leaders, "a long, b long, times long, na long, nb long, shingle long, place long, n long, group_key long, set_key long"), "lists")
+    found = stage(met.applyInArrow(_leaders, "a long, b long, times long, na long, nb long, shingle long, place long, n long, postings long, early long, group_key long, set_key long"), "lists")
     members = found.filter("set_key IS NOT NULL").select("group_key", "set_key")
     heads = stage(members.groupBy("group_key").agg(F.min("set_key").alias("head")), "heads")
     proposed = found.filter("a IS NOT NULL").groupBy("a", "b")
@@ -374,11 +404,19 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, list_rows: int = LIST_
         "placed",
     )
     span = placed.groupBy("group_key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    lists = found.filter("shingle IS NOT NULL").select("shingle", "group_key", "place", "n")
-    rest = lists.join(span, "group_key").withColumn("part", F.pmod(F.xxhash64("shingle"), F.lit(parts)))
+    lists = found.filter("shingle IS NOT NULL").select("shingle", "group_key", "place", "n", "postings", "early")
+    rest = lists.filter("early > 0").join(span, "group_key").selectExpr("*", f"explode({_dealt(max(1, list_rows // 10))}) AS _cell")
+    rest = rest.select("shingle", "_cell.i", "_cell.j", "_cell.role", "group_key", "place", "n", "low", "high")
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("shingle", "i", "j"), F.lit(parts)))
     pairs = rest.groupBy("part").applyInArrow(_across, "a long, b long, times long, na long, nb long")
     pairs = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    pairs = pairs.filter(f"times >= {SHARED}").select("a", "b")
+    pairs = stage(pairs.filter(f"times >= least({SPARE + 1}, {SHARED})"), "near")
+    # the shared prefix shingles of what is left, counted over all lists; a prefix is shorter than its text
+    ends = pairs.select(F.col("a").alias("group_key")).union(pairs.select("b")).distinct()
+    own = stage(lists.join(ends, "group_key", "left_semi").groupBy("group_key").agg(F.collect_list("shingle").alias("own")), "prefixes")
+    pairs = pairs.join(own.select(F.col("group_key").alias("a"), F.col("own").alias("pa")), "a")
+    pairs = pairs.join(own.select(F.col("group_key").alias("b"), F.col("own").alias("pb")), "b")
+    pairs = pairs.filter(f"size(array_intersect(pa, pb)) >= {SHARED}").select("a", "b")
     one = lambda x: placed.select(F.col("group_key").alias(x), F.col("set_key").alias(f"s{x}"), F.col("label").alias(f"l{x}"))
     across = pairs.join(one("a"), "a").join(one("b"), "b").filter("la <> lb").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"))
     inside = one("a").join(one("a").select("a", F.col("sa").alias("sb"), F.col("la").alias("lb")), "a").filter("sa < sb AND la <> lb").select("sa", "sb")
