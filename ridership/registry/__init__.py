@@ -10,6 +10,7 @@ from ridership.registry import (  # noqa: F401  (importing a module registers it
     models,
     rollups,
     sources,
+    streams,
     times,
     training,
 )
