@@ -8,10 +8,14 @@ with equal prefixes and sizes form a group, and only groups are posted under the
 1. Postings travel packed, by hash of the shingle. Each list proposes pairs (first group, other group) that pass the
    size and position filters; each group keeps the partner met most often; the members are verified on whole sets.
    Verified links give components, so a large group of near copies is one component after a link for each member.
-2. The lists of two and more groups meet again with the components, long ones cut into cells of chunks over many tasks.
+2. Lists and groups that hold several components choose new leaders, some by the shingle's hash, and every component meets
+   a few of those it shares most lists with. Their links make fewer components, for as long as that goes on; so copies
+   that differ in different places become one component in rounds of as many pairs as there are components.
+3. The lists of two and more groups meet again with the components, long ones cut into cells of chunks over many tasks.
    Pairs of groups whose members are all in one component need no look. Of the others a pair is taken only at its first
    few shared shingles, where the rest of both sets after the shingle must reach the overlap; the smaller set must then
-   hold the shingle early, so a passage that stands late in every prefix pairs nothing. What is left and shares as many
+   hold the shingle early, so a passage that stands late in every prefix pairs nothing; and bits of the shingles that each
+   prefix has in lists bound from above how many both share. What is left and shares as many
    prefix shingles as linked sets must is expanded to its members and verified. So no link between different components
    is missed, and near copies are never paired all with all.
 
@@ -31,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridership.llm.common import components, maybe_in, small_batches
@@ -47,11 +51,21 @@ HUB_ROWS = 200
 # Shared shingles that may stand before the one at which a pair is taken. A linked pair is taken at this many and one more
 # (or at all it must share in the prefixes, if fewer), as its j-th shared shingle has at most j shared ones before it.
 SPARE = 2
+# Rounds of leaders on contracted lists: leaders of a list in each.
+ROUNDS = (1, 2)
+ORDERS = 4  # orders among which a list's shingle chooses; partners of a component for each leader of a list
 # Shingles that the prefixes of two linked sets share at least: the least overlap, less what stands after a prefix. The
 # first so many common shingles stand in both prefixes.
 SHARED = "(3 * (na + nb) + 6) div 7 - greatest((3 * na + 3) div 4, (3 * nb + 3) div 4) + 1"
 
 
+MARKS = ("mark0", "mark1", "mark2", "mark3")  # bits of a group's prefix shingles, by their hash
+
+
+def _shared(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    return (3 * (na + nb) + 6) // 7 - np.maximum((3 * na + 3) // 4, (3 * nb + 3) // 4) + 1
+
+
 def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for first, data, off in slices(texts):
         yield first, *shingles(data, off, size)
@@ -292,8 +306,8 @@ def _dealt(chunk: int) -> str:
 def _across(table: pa.Table) -> pa.Table:
     """The pairs of groups that meet in a cell of a list early enough to link and are not within one component, with the
     number of lists and sizes; the smaller set is the first."""
-    names = ("shingle", "i", "j", "group_key", "place", "n", "low", "high", "role")
-    h, row, col, g, place, n, low, high, role = (table.column(c).to_numpy() for c in names)
+    names = ("shingle", "i", "j", "group_key", "place", "n", "low", "high", "role", "met", *MARKS)
+    h, row, col, g, place, n, low, high, role, met, *marks = (table.column(c).to_numpy() for c in names)
     by = np.lexsort((g, n, col, row, h))
     new = (h[by[1:]] != h[by[:-1]]) | (row[by[1:]] != row[by[:-1]]) | (col[by[1:]] != col[by[:-1]])
     begin = np.flatnonzero(np.concatenate([[True], new]))
@@ -301,7 +315,7 @@ def _across(table: pa.Table) -> pa.Table:
     # cells within one component go at once
     apart = np.minimum.reduceat(low[by], begin) != np.maximum.reduceat(high[by], begin)
     by, size = by[np.repeat(apart, size)], size[apart]
-    g, place, n, low, high, role = (x[by] for x in (g, place, n, low, high, role))
+    g, place, n, low, high, role, met, *marks = (x[by] for x in (g, place, n, low, high, role, met, *marks))
     cell = np.repeat(np.arange(len(size)), size)
     found: list[tuple[np.ndarray, ...]] = [tuple(np.zeros(0, np.int64) for _ in range(5))]
     held = 0
@@ -327,6 +341,10 @@ def _across(table: pa.Table) -> pa.Table:
         i, j = i[ok], j[ok]
         apart = ~((low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j]))
         i, j = i[apart], j[apart]
+        # a mark that one has and the other lacks is a shingle of one alone, so this many are shared at most
+        alone = sum(np.bitwise_count(m[i] ^ m[j]) for m in marks).astype(np.int64)
+        able = (met[i] + met[j] - alone) // 2 >= _shared(n[i].astype(np.int64), n[j].astype(np.int64))
+        i, j = i[able], j[able]
         found.append((g[i], g[j], np.ones(len(i), np.int64), n[i].astype(np.int64), n[j].astype(np.int64)))
         held += len(i)
         if held > PAIR_BLOCK:
@@ -371,8 +389,39 @@ def _verified(docs: DataFrame, homes: DataFrame, pairs: DataFrame, size: int, na
     return stage(met.mapInArrow(check, "a long, b long").distinct(), f"{name}_links")
 
 
+def _contracted(open_lists: DataFrame, members: DataFrame, label: DataFrame, leaders: int) -> DataFrame:
+    """Pairs (a, b) of set keys: for each component that is not alone in a list the sets it meets most often among leaders.
+
+    A list has a row per group and component in it. Its leaders hold the shingle earliest, up to a seeded number of places,
+    the seeds chosen by the shingle; only rows of other components meet a leader. Leaders are minima with partial results
+    per task.
+    """
+    named = members.join(label.withColumnRenamed("node", "set_key"), "set_key", "left")
+    named = named.select("group_key", "set_key", F.coalesce("label", "set_key").alias("label"))
+    some = F.min_by("set_key", F.xxhash64(F.lit(leaders), "set_key"))
+    own = stage(named.groupBy("group_key", "label").agg(some.alias("set_key")), "contracted")
+    rows = open_lists.join(own, "group_key")
+    # a set that holds the shingle early has the fewest shingles of its own before it and the most in common with others
+    order = lambda i: F.xxhash64(F.lit(leaders), F.lit(i), F.pmod("shingle", F.lit(ORDERS)), "set_key")
+    first = lambda i: F.min(F.struct(F.col("place") + F.pmod(order(i), F.lit(2 * i + 1)), order(i), "set_key", "label", "place", "n"))
+    heads = rows.groupBy("shingle").agg(F.array(*map(first, range(leaders))).alias("first"), F.min("label").alias("_low"), F.max("label").alias("_high"))
+    heads = heads.filter("_low <> _high").select("shingle", F.explode("first").alias("f")).select("shingle", F.col("f.set_key").alias("a"), F.col("f.label").alias("la"), F.col("f.place").alias("pa"), F.col("f.n").alias("na")).distinct()
+    met = rows.join(heads, "shingle").filter("label <> la AND 4 * least(n, na) >= 3 * greatest(n, na)")
+    # what is left after this shingle, and at most the places before it, must reach the overlap
+    met = met.filter("least(n - place, na - pa) + least(place, pa) >= (3 * (n + na) + 6) div 7").withColumnRenamed("n", "nb")
+    met = met.groupBy("label", "set_key", "a").agg(F.count("*").alias("times"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    met = met.filter(f"{2 * ORDERS} * times >= {SHARED}")
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("times"), "a", "set_key"))
+    best = met.withColumn("_place", place).filter(F.col("_place") <= ORDERS * leaders)
+    return best.select(F.least("a", "set_key").alias("a"), F.greatest("a", "set_key").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, size: int = SIZE, list_rows: int = LIST_ROWS) -> DataFrame:
-    """One row per document (doc_id, text): doc_id, text_key, n_shingles, component_id."""
+    """One row per document (doc_id, text): doc_id, text_key, n_shingles, component_id, component.
+
+    ``component`` names the component by the key of one of its sets, also where ids are NULL or repeat; NULL for the empty
+    set.
+    """
     small_batches(docs)
     ident, counts = profiles(docs, size)
     home = F.min(F.struct("doc_id", "text_key")).alias("home")
@@ -398,15 +447,33 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, list_rows: int = LIST_
     )
     first = _verified(docs, homes, star, size, "star")
     label = components(first, "star_components")
+    lists = found.filter("shingle IS NOT NULL").select("shingle", "group_key", "place", "n", "postings", "early")
+    # a group with several members is a list of its own
+    several = members.groupBy("group_key").agg(F.count("*").alias("_sets")).filter("_sets > 1").select("group_key")
+    sizes = homes.select(F.col("set_key").alias("head"), F.col("n").cast("long").alias("n"))
+    alone = several.join(heads, "group_key").join(sizes, "head").select(F.col("group_key").alias("shingle"), "group_key", F.lit(0).cast("long").alias("place"), "n")
+    near_front = lists.filter(f"early > 0 AND n + 7 * {SPARE} >= 7 * place").select("shingle", "group_key", "place", "n")
+    open_lists = stage(near_front.union(alone), "open")
+    in_lists = stage(members.join(open_lists.select("group_key").distinct(), "group_key", "left_semi"), "open_members")
+    for leaders in ROUNDS:
+        more = _verified(docs, homes, _contracted(open_lists, in_lists, label, leaders), size, f"round{leaders}")
+        if more.isEmpty():
+            break
+        first = stage(first.union(more), "found")
+        label = components(first, "round_components")
 
     placed = stage(
         members.join(label.withColumnRenamed("node", "set_key"), "set_key", "left").select("group_key", "set_key", F.coalesce("label", "set_key").alias("label")),
         "placed",
     )
     span = placed.groupBy("group_key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    lists = found.filter("shingle IS NOT NULL").select("shingle", "group_key", "place", "n", "postings", "early")
+    # shingles shared by two groups are in lists, so those a group has in lists stand for its prefix
+    slot = F.pmod(F.xxhash64("shingle"), F.lit(64 * len(MARKS)))
+    mark = lambda k: F.bit_or(F.when(F.floor(slot / 64) == k, F.expr(f"shiftleft(1L, cast(pmod(xxhash64(shingle), {64 * len(MARKS)}) % 64 as int))")).otherwise(F.lit(0).cast("long")))
+    marks = lists.groupBy("group_key").agg(F.count("*").alias("met"), *[mark(k).alias(c) for k, c in enumerate(MARKS)])
+    span = span.join(marks, "group_key")
     rest = lists.filter("early > 0").join(span, "group_key").selectExpr("*", f"explode({_dealt(max(1, list_rows // 10))}) AS _cell")
-    rest = rest.select("shingle", "_cell.i", "_cell.j", "_cell.role", "group_key", "place", "n", "low", "high")
+    rest = rest.select("shingle", "_cell.i", "_cell.j", "_cell.role", "group_key", "place", "n", "low", "high", "met", *MARKS)
     rest = rest.withColumn("part", F.pmod(F.xxhash64("shingle", "i", "j"), F.lit(parts)))
     pairs = rest.groupBy("part").applyInArrow(_across, "a long, b long, times long, na long, nb long")
     pairs = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.first("na").alias("na"), F.first("nb").alias("nb"))
@@ -425,8 +492,8 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, list_rows: int = LIST_
 
     rooted = homes.join(label.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     smallest = rooted.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_set = stage(rooted.join(smallest, "label").select("set_key", "component_id"), "by_set")
+    by_set = stage(rooted.join(smallest, "label").select("set_key", "component_id", F.col("label").alias("component")), "by_set")
     return ident.join(by_set, "set_key", "left").select(
-        "doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component"
     )
 

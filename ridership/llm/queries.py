@@ -154,7 +154,7 @@ WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcde
       JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)""",
 )
 def _(spark, sf):
-    return ngram_join.jaccard_components(table(spark, sf, "documents")).drop("text_key")
+    return ngram_join.jaccard_components(table(spark, sf, "documents")).drop("text_key", "component")
 
 
 @query("op7_sharding")

@@ -82,3 +82,49 @@ def test_packing_takes_all(stages):
     coder = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
     want = sum(len(coder.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in stages[4].collect())
     assert stages[5].agg(F.sum("length")).first()[0] == want
+
+
+ODD = "one two three four five six seven eight nine ten eleven twelve"
+ODD_ROWS = [
+    (1, ODD, "en", "src1", 60), (1, ODD, "en", "src1", 60), (2, ODD, "en", "src1", 60), (None, ODD, "en", None, None),
+    (None, "no id " + ODD, None, None, None), (None, "no id " + ODD, None, None, None), (3, None, "en", "src2", None), (3, None, "en", "src2", None),
+    (4, "", "de", "src2", 0), (5, "", None, None, 0), (6, "same id, one text of some words", "en", "src1", 9), (6, "same id, another text of words", "en", "src1", 9),
+    (7, "long words " * 60_000, "en", "src1", 9),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    df = spark.createDataFrame(ODD_ROWS, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({c: F.lit("clash") for c in ("label", "component", "_group", "host", "kept", "piece")})
+
+
+def test_one_row_of_each_group_with_repeated_rows_and_null_ids(spark, odd):
+    out = corpus_pipeline.near_duplicate_stage(spark, odd, SMALL)
+    assert out.columns == odd.columns
+    got = Counter((r.doc_id, (r.text or "")[:8]) for r in out.collect())
+    assert got == Counter(
+        [(1, ODD[:8]), (3, ""), (4, ""), (5, ""), (6, "same id,"), (6, "same id,"), (7, "long wor")]
+        + [(None, "no id on")] * (plain_link(ODD, "no id " + ODD) is False)
+    )
+
+
+def plain_link(a, b):
+    x, y = plain_shingles(a), plain_shingles(b)
+    return 100 * len(x & y) >= 75 * len(x | y)
+
+
+def test_group_without_ids_keeps_one_row(spark):
+    rows = [(None, ODD, "en", "s", 1), (None, ODD, "en", "s", 1), (None, ODD + " more", "en", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert plain_link(ODD, ODD + " more")
+    assert corpus_pipeline.near_duplicate_stage(spark, df, SMALL).count() == 1
+
+
+def test_odd_rows_and_empty_tables_in_every_stage(spark, odd):
+    for df in (odd, odd.limit(0)):
+        for name, apply in corpus_pipeline.STAGES:
+            out = apply(spark, df, SMALL)
+            # the classifier may reject all of these texts
+            assert (out.count() > 0) == (df is odd) or name == "quality"
+        assert out.columns != df.columns
