@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of ``documents``, the last one the packed pieces. A row is
 known by its ``doc_id`` and a hash of its text. No SQL says the same (the classifier and the packing have none).
+
+Every stage takes NULLs in any column, empty and very long texts, repeated rows and empty tables; columns beyond those of
+``documents`` pass through all but the last. What a case becomes is said at each stage.
 """
 
 from __future__ import annotations
@@ -27,21 +30,47 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    A NULL text is judged as an empty one, a NULL source or language as a site of its own; repeated rows are judged alike;
+    an empty table stays empty.
+    """
     judged = quality.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
     return _without(docs, judged.filter("NOT keep"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    linked = ngram_join.jaccard_components(docs)
-    return _without(docs, linked.filter("NOT doc_id <=> component_id"))
+    """Of each group of linked documents one stays, that with the smallest id.
+
+    Ties and NULL ids: of documents with one id the text with the smaller hash stays, a NULL id only where the group has no
+    other. Of rows repeated with id and text one stays, the first by its other columns. Documents without words are linked
+    with nothing: all stay, but repeated rows once.
+    """
+    linked = stage(ngram_join.jaccard_components(docs), "linked")
+    heads = linked.filter("doc_id <=> component_id")
+    alone = F.when(F.col("component").isNull(), F.struct("doc_id", "text_key"))
+    heads = heads.select("doc_id", "text_key", F.struct("component", alone.alias("alone")).alias("_group"))
+    tied = heads.groupBy("_group").agg(F.min(F.struct("doc_id", "text_key")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    tied = stage(heads.join(tied, heads["_group"].eqNullSafe(tied["_group"])).select("doc_id", "text_key", "_first"), "tied")
+    is_first = F.struct("doc_id", "text_key").eqNullSafe(F.col("_first"))
+    gone = linked.filter("NOT doc_id <=> component_id").select("doc_id", "text_key")
+    left = _without(docs, gone.union(tied.filter(~is_first).select("doc_id", "text_key")))
+    again = stage(tied.filter(is_first).groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key"), "repeated_rows")
+    if again.isEmpty():
+        return left
+    key = F.xxhash64(F.coalesce(left["text"], F.lit("")))
+    same = left["doc_id"].eqNullSafe(again["doc_id"]) & (key == again["text_key"])
+    # few rows go through this: one of each set of repeated rows, found with partial minima
+    once = left.join(again, same, "left_semi").withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    once = once.groupBy("doc_id", "_key").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return _without(left, again).unionByName(once)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes that repeat an earlier document go, and documents of which nothing is left.
 
-    Where a cut splits a character, the rest of the character goes as well.
+    Where a cut splits a character, the rest of the character goes as well. NULL and empty texts stay as they are, as do
+    texts under 50 bytes; a repeat is one of a document with a smaller id, so rows with one id, or none, do not cut each other.
     """
     lost, cut = suffix_dedup.remove_repeats(docs)
     left = _without(docs, lost.filter("n_bytes > 0 AND n_removed = n_bytes").select("doc_id", "text_key"))
@@ -53,12 +82,20 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents chosen by target weights; one that is taken in two epochs comes twice."""
+    """Documents chosen by target weights; one that is taken in two epochs comes twice.
+
+    A NULL source or language is a leaf of its own; texts without words take none of a budget and are chosen by
+    their place in the seeded order; repeated rows are chosen each; ties of the order go by id; an empty table stays empty.
+    """
     return mixing.mix(docs, domain(), WEIGHTS, F.col("_all") * F.lit(SHARE), EPOCHS, MIX_SEED).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and offset."""
+    """Token pieces with their sequence and offset.
+
+    A NULL text is packed as an empty one, which is its end mark; very long texts are cut into pieces; rows that come twice
+    are packed each; an empty table has no pieces; other columns go.
+    """
     return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
