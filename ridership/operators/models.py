@@ -1,9 +1,7 @@
-"""Occupancy classifiers on Spark ML (M1-M7)."""
+"""Occupancy classifiers on Spark ML (M1-M7); the search (M4) and softmax boosting are in ``boosting``."""
 
 from __future__ import annotations
 
-import itertools
-import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -18,9 +16,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import MinMaxScaler, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,40 +169,6 @@ def predict_cascade(cascade: Cascade, df: DataFrame) -> DataFrame:
     return b.withColumn("y_pred", F.when(F.col("_a") == 2, F.col("_b") + 2).otherwise(F.col("_a"))).drop("_a", "_b")
 
 
-def random_search(
-    df: DataFrame,
-    features: Features,
-    space: Mapping[str, Sequence],
-    keys: Sequence[str],
-    n_iter: int = 5,
-    folds: int = 5,
-    seed: int = 100,
-    parallelism: int = 2,
-) -> tuple[CrossValidatorModel, list[dict]]:
-    """Random settings of a forest, each drawn once, scored by stratified cross-validation accuracy (M4)."""
-    forest = RandomForestClassifier(seed=seed)
-    rng = random.Random(seed)
-    every = [dict(zip(space, values)) for values in itertools.product(*space.values())]
-    grid = rng.sample(every, min(n_iter, len(every)))
-    maps = [{forest.getParam(n): v for n, v in g.items()} for g in grid]
-    known = df.filter(F.col("y_class").isNotNull() & _known(features))
-    folded = stage(stratified_kfold(known, "y_class", keys, folds, seed), "folds")
-    rows = _as_text(folded, features).withColumn("label", F.col("y_class").cast("double"))
-    assembled = Pipeline(stages=feature_stages(features)).fit(rows).transform(rows)
-    cv = CrossValidator(
-        estimator=forest,
-        estimatorParamMaps=maps,
-        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
-        numFolds=folds,
-        foldCol="kfold",
-        parallelism=parallelism,
-        seed=seed,
-    )
-    fitted = cv.fit(assembled.select("features", "label", "kfold"))
-    scores = [{**g, "accuracy": s} for g, s in zip(grid, fitted.avgMetrics)]
-    return fitted, scores
-
-
 def window_sweep(
     rows_for: Callable[[int], DataFrame],
     windows: Sequence[int],

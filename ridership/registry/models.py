@@ -5,7 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ridership.functions.bins import HIGH_LOAD_BOUNDS
-from ridership.operators import models
+from ridership.operators import boosting, models
 from ridership.operators.enrich import weather_hourly
 from ridership.plans import prediction
 from ridership.plans.feature_store import WEATHER_VALUES
@@ -20,12 +20,12 @@ NEEDS = "stop_events weather_raw holidays school_breaks"
 KEYS = ["transit_date", "route_id_direction", "time_window"]
 FEATURES = models.ROUTE_FEATURES
 SWEEP = [1, 10, 20, 30, 40, 50, 60, 120]
-# a forest has no learning rate; the share of rows a tree sees takes its place, and the least gain of a split that of gamma
+# fixed values: the grid the settings of a search are drawn from
 SPACE = {
-    "maxDepth": range(2, 24, 6),
-    "numTrees": range(100, 1100, 400),
-    "subsamplingRate": [1.0, 0.8, 0.6, 0.4],
-    "minInfoGain": [0.0, 0.05, 0.1, 0.2],
+    "max_depth": range(2, 24, 6),
+    "n_estimators": range(100, 1100, 400),
+    "learning_rate": [0.1, 0.01, 0.05, 0.005],
+    "gamma": [0.0, 0.05, 0.1, 0.2],
 }
 
 
@@ -95,16 +95,35 @@ def _(spark, sf):
     return _predicted(models.predict(models.fit_mlp(rows, FEATURES), rows, FEATURES))
 
 
+@query("m2_boosted_cascade")
+def _(spark, sf):
+    rows = training_rows(spark, sf)
+    return _predicted(boosting.predict_boosted_cascade(boosting.fit_boosted_cascade(rows, FEATURES), rows, FEATURES))
+
+
+# a load that follows from the hour, so that the right answer of a fitted cascade is known
+_KNOWN = f"""{ROUTE_WINDOWS}, capped AS (SELECT * REPLACE (CAST(hour * 4 AS DOUBLE) AS y_reg100) FROM route_windows)
+, q AS (SELECT {', '.join(f'{_LOWER.format(q=q)} AS q{i}' for i, q in enumerate((0.33, 0.66), 1))}
+  FROM (SELECT list_sort(list(y_reg100)) AS a FROM capped))
+SELECT {d('transit_date')}, route_id_direction, CAST(time_window AS DOUBLE) AS time_window, {r('y_reg100', 'y_reg100')},
+  CASE WHEN y_reg100 <= q1 THEN 0 WHEN y_reg100 <= q2 THEN 1
+    WHEN y_reg100 >= 76 THEN 4 WHEN y_reg100 >= 56 THEN 3 ELSE 2 END AS y_pred
+FROM capped, q"""
+
+
+@query("m7_boosted_cascade_loaded", NEEDS, _KNOWN)
+def _(spark, sf):
+    rows = training_rows(spark, sf).withColumn("y_reg100", (F.col("hour") * 4).cast("double"))
+    path = scratch_path(spark, "models")
+    boosting.save_models(boosting.fit_boosted_cascade(rows, FEATURES, n_estimators=20), path)
+    out = _predicted(boosting.predict_boosted_cascade(boosting.load_models(rows, path), rows, FEATURES))
+    return out.withColumn("time_window", F.col("time_window").cast("double"))
+
+
 @query("m4_random_search")
 def _(spark, sf):
-    rows = _classed_rows(spark, sf)
-    _, scores = models.random_search(rows, FEATURES, SPACE, KEYS)
-    # the settings tried with their accuracy, next to the size of the data they were scored on
-    tried = spark.createDataFrame(
-        [(s["maxDepth"], s["numTrees"], s["subsamplingRate"], s["minInfoGain"], float(s["accuracy"])) for s in scores],
-        "max_depth int, num_trees int, subsampling_rate double, min_info_gain double, accuracy double",
-    )
-    return tried.withColumn("rows", rows.agg(F.count("*")).scalar())
+    rows = boosting.cascade_halves(training_rows(spark, sf))
+    return boosting.random_search(rows, FEATURES, SPACE, KEYS)
 
 
 @query("m5_window_sweep")

@@ -3,7 +3,7 @@
 import pytest
 from conftest import SMALL
 
-from ridership.operators import models
+from ridership.operators import boosting, models
 from ridership.registry import QUERIES
 from ridership.registry.models import SPACE, training_rows
 
@@ -14,7 +14,7 @@ class Stop(Exception):
     pass
 
 
-def seen(monkeypatch, spark, key, name):
+def seen(monkeypatch, spark, key, name, module=models):
     """Arguments of the first call of an operator by a query."""
     calls = []
 
@@ -22,7 +22,7 @@ def seen(monkeypatch, spark, key, name):
         calls.append((args, settings))
         raise Stop
 
-    monkeypatch.setattr(models, name, spy)
+    monkeypatch.setattr(module, name, spy)
     with pytest.raises(Stop):
         QUERIES[key](spark, SMALL)
     return calls[0]
@@ -45,9 +45,10 @@ def test_cascade_gets_the_target_as_it_is(monkeypatch, spark, key):
 
 
 def test_search_draws_over_four_parameters(monkeypatch, spark):
-    args, settings = seen(monkeypatch, spark, "m4_random_search", "random_search")
+    args, settings = seen(monkeypatch, spark, "m4_random_search", "random_search", boosting)
     assert args[1:3] == (FULL, SPACE) and settings == {}
-    assert list(SPACE["maxDepth"]) == [2, 8, 14, 20] and list(SPACE["numTrees"]) == [100, 500, 900] and len(SPACE) == 4
+    assert list(SPACE["max_depth"]) == [2, 8, 14, 20] and list(SPACE["n_estimators"]) == [100, 500, 900] and len(SPACE) == 4
+    assert {r[0] for r in args[0].select("half").distinct().collect()} == {"low", "high"}
 
 
 def test_sweep_takes_all_windows(monkeypatch, spark):
