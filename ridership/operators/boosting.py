@@ -38,7 +38,7 @@ from ridership.session import stage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 VALUES, BINS = 32, 16
-FIT_ROWS, SEARCH_ROWS = 4_000, 1_000
+FIT_ROWS, SEARCH_ROWS = 4_000, 600
 PIECE_ROWS = 50_000
 # weight of the squared leaf values, least sum of second-order gradients in a leaf
 RIDGE, LEAST = 1.0, 1.0
@@ -170,14 +170,17 @@ def _scores(codes: _Codes, x: np.ndarray, model: Mapping, classes: int, block: i
     """Sum of the leaf values per row and class, some trees at a time."""
     feature, cut, child, value, roots = (np.asarray(model[k]) for k in ("feature", "cut", "child", "value", "roots"))
     out = np.zeros((len(x), classes))
-    rows = np.arange(len(x))[:, None]
     for lo in range(0, len(roots), block * classes):
-        at = np.tile(roots[lo : lo + block * classes], (len(x), 1))
-        while (inner := feature[at] >= 0).any():
-            f = feature[at]
-            code = x[rows, f]
-            right = np.where(codes.is_category[f], code == cut[at], code > cut[at])
-            at = np.where(inner, child[at] + right, at)
+        at = np.tile(roots[lo : lo + block * classes], len(x))
+        row = np.repeat(np.arange(len(x)), len(at) // len(x))
+        # only those not yet in a leaf go on
+        live = np.flatnonzero(feature[at] >= 0)
+        while len(live):
+            here = at[live]
+            f = feature[here]
+            code = x[row[live], f]
+            at[live] = child[here] + np.where(codes.is_category[f], code == cut[here], code > cut[here])
+            live = live[feature[at[live]] >= 0]
         out += value[at].reshape(len(x), -1, classes).sum(axis=1)
     return out
 
@@ -228,8 +231,9 @@ def fit_boosted(
     known = rows.filter(F.col(label).isNotNull() & _known(features))
     data = known.select(*by, F.col(label).cast("int").alias("_y"), *_inputs(features)).join(F.broadcast(settings), list(by))
     if models:
-        # a stated number keeps the adaptive planner from joining the few small partitions into one task
-        data = data.repartition(4 * models, *by)
+        # ranges part models of equal size evenly, where hashes would put some together; a stated number keeps the adaptive
+        # planner from joining the small partitions
+        data = data.repartitionByRange(2 * models, *by)
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for c in (*by, *SETTING) for f in settings.schema.fields if f.name == c)
     return data.groupBy(*by).applyInPandas(run, f"{types}, {MODEL}")
 
