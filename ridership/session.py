@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _made: list[str] = []
+_stored: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -67,11 +69,28 @@ def clear() -> None:
     if spark is None or spark.sparkContext._jsc is None:
         return
     for folder in _made:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _remove(spark, folder)
     _made.clear()
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``stage`` that no later step reads; what is no such table stays.
+
+    Only for tables whose readers are stored themselves, so that a lost executor never asks for them again.
+    """
+    for df in tables:
+        path = _stored.pop(df, None)
+        if path:
+            folder = path.rsplit("/", 1)[0]
+            _remove(df.sparkSession, folder)
+            _made.remove(folder)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table under the shared folder and read it back.
 
@@ -80,4 +99,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _stored[out] = path
+    return out
