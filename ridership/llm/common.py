@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridership.session import stage
+from ridership.session import discard, stage
 
 BITMAP = 32_768  # bits of one row of Spark's bitmap functions
 BATCH_ROWS = 1_000
@@ -49,7 +49,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Each round every node moves to the neighbour, or itself, that comes first in a seeded order of the round, and the
     edges are rewritten; their number falls by a constant factor, and a star is gone after about one round. All steps
     are joins and aggregates; a node with very many neighbours is a minimum with partial sums. Each round is stored
-    under the shared folder.
+    under the shared folder, and the one before it goes.
     """
     edges = stage(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
     labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node"))
@@ -59,14 +59,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         order = lambda c: F.struct(F.xxhash64(F.lit(step), F.col(c)).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
         to = both.groupBy("a").agg(F.min(order("b")).alias("_to")).select("a", F.least("_to", order("a"))["v"].alias("to"))
         to = stage(to, f"{name}_to")
-        labels = stage(
+        moved_labels = stage(
             labels.join(to, F.col("label") == F.col("a"), "left").select("node", F.coalesce("to", "label").alias("label")),
             f"{name}_labels",
         )
         moved = edges.join(to.select("a", F.col("to").alias("ta")), "a").join(to.select(F.col("a").alias("b"), F.col("to").alias("tb")), "b")
-        edges = stage(
+        left = stage(
             moved.filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(),
             f"{name}_edges",
         )
+        # both are stored, so nothing reads the tables of the round again
+        discard(edges, to, labels)
+        edges, labels = left, moved_labels
         step += 1
     return labels

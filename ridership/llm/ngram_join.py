@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ridership.llm.common import components, maybe_in, small_batches
 from ridership.llm.text import U64, mix, ranges, shingles, slices
-from ridership.session import stage
+from ridership.session import discard, stage
 
 SIZE = 5
 COUNTERS = 1 << 22
@@ -386,7 +386,9 @@ def _verified(docs: DataFrame, homes: DataFrame, pairs: DataFrame, size: int, na
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["a", "b"])
 
     met = texts.select("a", "part", "partner", "set_key", "text").repartition("a", "part").sortWithinPartitions("a", "part", "partner")
-    return stage(met.mapInArrow(check, "a long, b long").distinct(), f"{name}_links")
+    links = stage(met.mapInArrow(check, "a long, b long").distinct(), f"{name}_links")
+    discard(pairs, roles)
+    return links
 
 
 def _contracted(open_lists: DataFrame, members: DataFrame, label: DataFrame, leaders: int) -> DataFrame:
@@ -459,13 +461,16 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, list_rows: int = LIST_
         more = _verified(docs, homes, _contracted(open_lists, in_lists, label, leaders), size, f"round{leaders}")
         if more.isEmpty():
             break
-        first = stage(first.union(more), "found")
-        label = components(first, "round_components")
+        both = stage(first.union(more), "found")
+        before, label = label, components(both, "round_components")
+        discard(first, more, before)
+        first = both
 
     placed = stage(
         members.join(label.withColumnRenamed("node", "set_key"), "set_key", "left").select("group_key", "set_key", F.coalesce("label", "set_key").alias("label")),
         "placed",
     )
+    discard(open_lists, in_lists)
     span = placed.groupBy("group_key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     # shingles shared by two groups are in lists, so those a group has in lists stand for its prefix
     slot = F.pmod(F.xxhash64("shingle"), F.lit(64 * len(MARKS)))
