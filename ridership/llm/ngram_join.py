@@ -402,7 +402,8 @@ def _contracted(open_lists: DataFrame, members: DataFrame, label: DataFrame, lea
     named = named.select("group_key", "set_key", F.coalesce("label", "set_key").alias("label"))
     some = F.min_by("set_key", F.xxhash64(F.lit(leaders), "set_key"))
     own = stage(named.groupBy("group_key", "label").agg(some.alias("set_key")), "contracted")
-    rows = open_lists.join(own, "group_key")
+    # stored, as both the leaders and those that meet them are taken from these rows
+    rows = stage(open_lists.join(own, "group_key").select("shingle", "label", "set_key", "place", "n"), "contracted_lists")
     # a set that holds the shingle early has the fewest shingles of its own before it and the most in common with others
     order = lambda i: F.xxhash64(F.lit(leaders), F.lit(i), F.pmod("shingle", F.lit(ORDERS)), "set_key")
     first = lambda i: F.min(F.struct(F.col("place") + F.pmod(order(i), F.lit(2 * i + 1)), order(i), "set_key", "label", "place", "n"))
@@ -415,7 +416,9 @@ def _contracted(open_lists: DataFrame, members: DataFrame, label: DataFrame, lea
     met = met.filter(f"{2 * ORDERS} * times >= {SHARED}")
     place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("times"), "a", "set_key"))
     best = met.withColumn("_place", place).filter(F.col("_place") <= ORDERS * leaders)
-    return best.select(F.least("a", "set_key").alias("a"), F.greatest("a", "set_key").alias("b")).distinct()
+    asked = stage(best.select(F.least("a", "set_key").alias("a"), F.greatest("a", "set_key").alias("b")).distinct(), "asked")
+    discard(own, rows)
+    return asked
 
 
 def jaccard_components(docs: DataFrame, size: int = SIZE, list_rows: int = LIST_ROWS) -> DataFrame:
