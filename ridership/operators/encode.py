@@ -1,12 +1,14 @@
 """Encoders and scalers.
 
-An index map is a table, made without a single-task sort, and serves any number of values. The one-hot form has a column
-per value by definition, so its values are read to the driver; a column of many values should go in as its index.
+An index map is a table, made without a single-task sort, and serves any number of values. The wide one-hot form has a column
+per value by definition, so its values are read to the driver; the sparse form (``one_hot_sparse``) takes its slots from a
+table and serves columns whose values grow with the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +36,59 @@ def one_hot_inverse(df: DataFrame, categories: Mapping[str, Sequence]) -> DataFr
     return df.withColumns(back).drop(*[f"{c}_{v}" for c, values in categories.items() for v in values])
 
 
+def category_slots(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Table (column, value, slot): the slots of the sparse one-hot form (L5), values as text.
+
+    Slots count from 0 in sorted order of a column's values; a column's slots follow those of the columns before it.
+    """
+    maps = [
+        index_map(df, c).select(F.lit(i).alias("_at"), F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"), F.col(f"`{c}_ix`").alias("_ix"))
+        for i, c in enumerate(cols)
+    ]
+    every = stage(reduce(DataFrame.unionByName, maps), "slots")
+    # a row per column
+    before = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    first = every.groupBy("_at").count().select("_at", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
+    return every.join(first, "_at").select("column", "value", (F.col("_first") + F.col("_ix")).cast("int").alias("slot"))
+
+
+def one_hot_sparse(df: DataFrame, slots: DataFrame, cols: Sequence[str], name: str = "hot") -> DataFrame:
+    """The category columns as one sparse vector (L5): struct of ``size``, ``indices`` (ascending) and ``values``.
+
+    A row has as many entries as it has known categories, however many values the columns have; NULL and values without a
+    slot add none. The columns given stay.
+    """
+    out = df
+    for i, c in enumerate(cols):
+        own = slots.filter(F.col("column") == c).select(F.col("value").alias(f"_value{i}"), F.col("slot").alias(f"_slot{i}"))
+        out = out.join(own, F.col(f"`{c}`").cast("string") == F.col(f"_value{i}"), "left")
+    indices = F.array_compact(F.array(*[F.col(f"_slot{i}") for i in range(len(cols))]))
+    size = slots.agg(F.count(F.lit(1)).cast("int")).scalar()
+    vector = F.struct(size.alias("size"), indices.alias("indices"), F.transform(indices, lambda _: F.lit(1.0)).alias("values"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c != name], vector.alias(name))
+
+
+def one_hot_long(df: DataFrame, name: str = "hot") -> DataFrame:
+    """Rows (the other columns, ``slot``, ``value``) of a sparse vector (L5); a row without an entry gives none."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c != name]
+    return df.select(*rest, F.inline(F.arrays_zip(F.col(f"{name}.indices").alias("slot"), F.col(f"{name}.values").alias("value"))))
+
+
+def one_hot_sparse_inverse(df: DataFrame, slots: DataFrame, types: Mapping[str, str], name: str = "hot") -> DataFrame:
+    """The category columns, of the given types, back from their sparse vector, which is dropped."""
+    out = df
+    for i, (c, kind) in enumerate(types.items()):
+        own = slots.filter(F.col("column") == c)
+        low, high = own.agg(F.min("slot")).scalar(), own.agg(F.max("slot")).scalar()
+        # a column has one entry at most
+        found = F.get(F.filter(F.col(f"{name}.indices"), lambda s: s.between(F.col("_low"), F.col("_high"))), F.lit(0))  # noqa: B023
+        out = out.withColumns({"_low": low, "_high": high}).withColumn("_own", found).drop("_low", "_high")
+        back = own.select(F.col("slot").alias("_own"), F.col("value").cast(kind).alias(f"_back{i}"))
+        out = out.join(back, "_own", "left").drop("_own")
+    given = [F.col(f"`{c}`") for c in df.columns if c != name and c not in types]
+    return out.select(*given, *[F.col(f"_back{i}").alias(c) for i, c in enumerate(types)])
+
+
 def index_map(df: DataFrame, col: str) -> DataFrame:
     """Mapping table value -> 0-based index in sorted order.
 

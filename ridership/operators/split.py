@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridership.operators.basic import between_dates
-from ridership.operators.enrich import concat
 from ridership.operators.ordered import PIECE_ROWS, Along, row_numbers, top_k
+from ridership.session import stage
 
 
 def date_split(df: DataFrame, ranges: dict[str, tuple[str, str]], col: str = "transit_date", closed: str = "both") -> dict[str, DataFrame]:
@@ -47,14 +47,29 @@ def stratified_shuffle(
     seed: int = 100,
     piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
-    """Repeated splits with equal class shares (L3): ``split`` 0..n-1 and ``is_test``."""
-    sizes = df.groupBy(y).agg(F.count(F.lit(1)).alias("_size"))
-    parts = []
-    for i in range(n_splits):
-        ranked = _class_rank(df, y, keys, seed + i, piece_rows).join(sizes, y)
-        test = F.col("_rank") <= F.round(F.col("_size") * F.lit(test_frac))
-        parts.append(ranked.withColumns({"split": F.lit(i), "is_test": test}).drop("_rank", "_size"))
-    return concat(*parts)
+    """Repeated splits with equal class shares (L3): ``split`` 0..n-1 and ``is_test``; ``keys`` identify a row.
+
+    The test rows of a class are the first of its shuffled order, in number the rounded share. Nothing is sorted for that: one
+    pass counts all splits by ranges of their hashes, a second ranks only the rows of the one range per class and split
+    where the share ends (1 of 65,536), the third compares each row with the last test row. Rows without a class are left out.
+    """
+    given = [c for c in df.columns if c not in ("split", "is_test")]
+    drawn = F.array(*[F.struct(F.lit(i).alias("split"), _hash(keys, seed + i).alias("_h")) for i in range(n_splits)])
+    rows = df.filter(F.col(y).isNotNull()).select(*given, F.inline(drawn)).withColumn("_range", F.shiftright("_h", 48).cast("int"))
+    slim = rows.select(*dict.fromkeys([y, *keys]), "split", "_h", "_range")
+    group = [y, "split"]
+    counts = slim.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    # a class has at most 65,536 ranges in a split
+    so_far = F.sum("_n").over(Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    size = F.sum("_n").over(Window.partitionBy(*group))
+    left = F.round(size * F.lit(test_frac)) - F.coalesce(so_far, F.lit(0))
+    ends = counts.withColumn("_left", left).filter("_left BETWEEN 1 AND _n").select(*group, F.col("_range").alias("_end"), "_left")
+    near = stage(slim.join(ends, group).filter("_range = _end"), "split_ends")
+    ranked = row_numbers(near, group, Along(["_h", *keys], F.col("_h"), piece_rows), "_rank")
+    place = F.struct("_h", *keys)
+    last = stage(ranked.filter("_rank = _left").select(*group, "_end", place.alias("_last")), "last_test_rows")
+    test = (F.col("_range") < F.col("_end")) | ((F.col("_range") == F.col("_end")) & (place <= F.col("_last")))
+    return rows.join(last, group, "left").select(*given, "split", F.coalesce(test, F.lit(False)).alias("is_test"))
 
 
 def sample_per_group(df: DataFrame, group: Sequence[str], keys: Sequence[str], n: int, seed: int = 500) -> DataFrame:

@@ -9,6 +9,7 @@ from ridership.operators.ordered import Along
 from ridership.registry.base import EV, d, query, r
 from ridership.registry.enrichment import MATCHED, matched
 from ridership.registry.rollups import CLASSED, classed
+from ridership.session import stage
 from ridership.sources.bindings import bind
 
 _RANGES = {
@@ -59,7 +60,7 @@ def _(spark, sf):
       UNION ALL SELECT y_true, split, 0, n - t FROM t) WHERE n > 0""",
 )
 def _(spark, sf):
-    rows = classed(spark, sf).filter("y_true IS NOT NULL")
+    rows = stage(classed(spark, sf).filter("y_true IS NOT NULL"), "classed")
     out = split.stratified_shuffle(rows, "y_true", ["trip_id", "stop_sequence", "transit_date"], 2)
     return out.groupBy("y_true", "split", F.col("is_test").cast("int").alias("is_test")).agg(F.count("*").alias("n"))
 
@@ -93,6 +94,27 @@ def _(spark, sf):
     return hot.join(back, "event_id")
 
 
+@query(
+    "l5_one_hot_sparse",
+    "stop_events",
+    """, n AS (SELECT count(DISTINCT stop_id) AS stops, count(DISTINCT trip_id) AS trips FROM stop_events)
+    SELECT event_id, stop_id, trip_id, dense_rank() OVER (ORDER BY stop_id) - 1 AS stop_slot,
+      stops + dense_rank() OVER (ORDER BY trip_id) - 1 AS trip_slot, stops + trips AS size, 2 AS entries FROM stop_events, n""",
+)
+def _(spark, sf):
+    ev = bind(spark, sf, "stop_events").select("event_id", "stop_id", "trip_id")
+    cols = ["stop_id", "trip_id"]
+    slots = stage(encode.category_slots(ev, cols), "slots")
+    hot = encode.one_hot_sparse(ev, slots, cols).drop(*cols)
+    back = encode.one_hot_sparse_inverse(hot, slots, {c: ev.schema[c].dataType.simpleString() for c in cols})
+    rows = encode.one_hot_long(hot.withColumn("size", F.col("hot.size"))).groupBy("event_id")
+    rows = rows.agg(
+        F.min("slot").alias("stop_slot"), F.max("slot").alias("trip_slot"), F.first("size").alias("size"),
+        F.sum("value").cast("int").alias("entries"),
+    )
+    return back.join(rows, "event_id")
+
+
 @query(
     "l6_index_map",
     "stop_events",

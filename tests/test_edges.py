@@ -3,6 +3,7 @@
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ridership.functions import arrays, bins, times
@@ -274,6 +275,44 @@ def test_folds_are_even_and_repeatable(spark):
     assert all(abs(r[1] - 0.3) < 0.01 for r in share)
 
 
+def test_shuffled_splits_take_the_first_of_each_class(spark):
+    # one class has most rows, one has a single row, some rows have no class; a clashing column is replaced
+    rows = [(i, None if i % 50 == 7 else 0 if i % 10 else 1 + i % 3, i % 4, "x") for i in range(3000)] + [(3000, 9, 0, "x")]
+    df = spark.createDataFrame(rows, "id long, y int, part int, split string")
+    out = split.stratified_shuffle(df, "y", ["id", "part"], 4, 0.3)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["split"], r["id"]) for r in out.filter("is_test").collect()}
+    known = [r for r in rows if r[1] is not None]
+    assert out.count() == 4 * len(known) and out.columns == ["id", "y", "part", "split", "is_test"]
+    place = Window.partitionBy("y").orderBy("_h", "id", "part")
+    for i in range(4):
+        plain = df.filter("y IS NOT NULL").withColumn("_h", F.xxhash64(F.lit(100 + i), "id", "part"))
+        plain = plain.withColumns({"_rank": F.row_number().over(place), "_n": F.count("*").over(Window.partitionBy("y"))})
+        assert {(i, r["id"]) for r in plain.filter("_rank <= round(_n * 0.3)").collect()} == {g for g in got if g[0] == i}
+    assert split.stratified_shuffle(df.filter("y > 99"), "y", ["id"], 2).count() == 0
+    assert split.stratified_shuffle(df, "y", ["id"], 2, 0.0).filter("is_test").count() == 0
+
+
+def test_sparse_one_hot(spark):
+    df = spark.createDataFrame([(1, "b", 10), (1, "b", 10), (2, None, 9), (3, "a", None)], "id int, c string, d int")
+    slots = encode.category_slots(df, ["c", "d"])
+    # numbers are in the order of numbers
+    assert sorted((r["slot"], r["column"], r["value"]) for r in slots.collect()) == [(0, "c", "a"), (1, "c", "b"), (2, "d", "9"), (3, "d", "10")]
+    unseen = df.union(spark.createDataFrame([(4, "z", None)], df.schema))
+    hot = encode.one_hot_sparse(unseen, slots, ["c", "d"])
+    got = sorted((r["id"], r["hot"]["size"], r["hot"]["indices"], r["hot"]["values"]) for r in hot.collect())
+    assert got == [(1, 4, [1, 3], [1.0, 1.0])] * 2 + [(2, 4, [2], [1.0]), (3, 4, [0], [1.0]), (4, 4, [], [])]
+    back = encode.one_hot_sparse_inverse(hot.drop("c", "d"), slots, {"c": "string", "d": "int"})
+    assert back.columns == ["id", "c", "d"] and back.schema["d"].dataType.simpleString() == "int"
+    assert sorted(back.collect(), key=lambda r: r["id"]) == [(1, "b", 10), (1, "b", 10), (2, None, 9), (3, "a", None), (4, None, None)]
+    assert encode.one_hot_long(hot).count() == 6
+    many = spark.range(100_000).select("id", F.format_string("v%06d", "id").alias("c"))
+    vectors = encode.one_hot_sparse(many, encode.category_slots(many, ["c"]), ["c"])
+    assert vectors.filter("hot.indices[0] = id AND size(hot.indices) = 1 AND hot.size = 100000").count() == 100_000
+    empty = df.filter("id > 9")
+    assert encode.one_hot_sparse(empty, encode.category_slots(empty, ["c"]), ["c"]).count() == 0
+
+
 def test_encoders(spark):
     df = spark.createDataFrame([(1, "a", 2.0), (2, "b", 4.0), (3, None, 2.0)], "id int, c string, x double")
     cats = encode.fit_categories(df, ["c"])
