@@ -387,7 +387,7 @@ def _verified(docs: DataFrame, homes: DataFrame, pairs: DataFrame, size: int, na
 
     met = texts.select("a", "part", "partner", "set_key", "text").repartition("a", "part").sortWithinPartitions("a", "part", "partner")
     links = stage(met.mapInArrow(check, "a long, b long").distinct(), f"{name}_links")
-    discard(pairs, roles)
+    discard(roles)
     return links
 
 
