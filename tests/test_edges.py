@@ -1,11 +1,13 @@
 """Hand-made rows for the corners: NULLs, ties, thresholds, gaps between bins, equal times, empty inputs."""
 
+import os
 from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ridership import session
 from ridership.functions import arrays, bins, times
 from ridership.operators import asof, baseline, basic, clean, disruption, encode, enrich, geo, headway, metrics, quantiles
 from ridership.operators import rollup, sequence, split
@@ -293,6 +295,14 @@ def test_shuffled_splits_take_the_first_of_each_class(spark):
     assert split.stratified_shuffle(df, "y", ["id"], 2, 0.0).filter("is_test").count() == 0
 
 
+def test_discarded_stages_are_gone(spark):
+    kept, gone = session.stage(spark.range(3), "kept"), session.stage(spark.range(3), "gone")
+    folder = gone.inputFiles()[0].removeprefix("file://").rsplit("/", 2)[0]
+    assert os.path.isdir(folder)
+    session.discard(gone, gone, spark.range(3))
+    assert not os.path.exists(folder) and kept.count() == 3
+
+
 def test_sparse_one_hot(spark):
     df = spark.createDataFrame([(1, "b", 10), (1, "b", 10), (2, None, 9), (3, "a", None)], "id int, c string, d int")
     slots = encode.category_slots(df, ["c", "d"])
