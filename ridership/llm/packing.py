@@ -7,7 +7,8 @@ length that meet equal sequences are placed as a run. The result is that of plac
 holds is bounded by ``max_tokens`` whatever the number of documents. Each piece then learns its sequence from its rank
 among the pieces of its length; ranks are counted in hashed buckets, so a length that most pieces share is spread.
 
-Defined cases: a NULL text is empty; an empty text is the separator alone; repeated rows are packed each; a NULL
+Defined cases: a document of at most ``max_tokens`` is one piece; of the pieces of a longer one only the last, or with
+``short_first`` the first, may be shorter; a NULL text is empty; an empty text is the separator alone; repeated rows are packed each; a NULL
 ``doc_id`` is kept; an empty table gives no rows; other columns are ignored.
 """
 
@@ -19,6 +20,7 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -132,7 +134,15 @@ class WordIds:
         return [(next(whole) if o else next(plain)) if t else b"" for t, o in zip(texts, odd)]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, separator: int = SEPARATOR, with_ids: bool = False) -> DataFrame:
+def cuts(n: int, max_tokens: int, short_first: bool) -> list[int]:
+    """Where the pieces of ``n`` ids start, and ``n``; only the last piece, or with ``short_first`` the first, may be short."""
+    first = n % max_tokens if short_first else 0
+    return [*([0] if first else []), *range(first, n, max_tokens), n]
+
+
+def token_pieces(
+    docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, separator: int = SEPARATOR, with_ids: bool = False, short_first: bool = False
+) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, if wanted, the ids."""
     end = np.array([separator], "<u4").tobytes()
 
@@ -145,9 +155,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS,
                 coded = words.encode([t or "" for t in part.column("text").to_pylist()])
                 for doc, ids in zip(part.column("doc_id").to_pylist(), coded):
                     ids = ids + end
-                    for piece, begin in enumerate(range(0, len(ids), 4 * max_tokens)):
-                        own = ids[begin : begin + 4 * max_tokens]
-                        for col, v in zip(out, (doc, piece, begin // 4, len(own) // 4, zlib.crc32(own), own)):
+                    for piece, (begin, stop) in enumerate(pairwise(cuts(len(ids) // 4, max_tokens, short_first))):
+                        own = ids[4 * begin : 4 * stop]
+                        for col, v in zip(out, (doc, piece, begin, stop - begin, zlib.crc32(own), own)):
                             col.append(v)
                 cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(c, pa.int64()) for c in out[2:5]]]
                 if with_ids:
@@ -265,9 +275,11 @@ def pack_pieces(pieces: DataFrame, max_tokens: int = MAX_TOKENS, bucket_rows: in
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, separator: int = SEPARATOR, with_ids: bool = False) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, separator: int = SEPARATOR, with_ids: bool = False, short_first: bool = False
+) -> DataFrame:
     """Cut documents (doc_id, text) into pieces and pack them: one row per piece with its sequence and offset."""
-    return pack_pieces(stage(token_pieces(docs, tokenizer, max_tokens, separator, with_ids), "pieces"), max_tokens)
+    return pack_pieces(stage(token_pieces(docs, tokenizer, max_tokens, separator, with_ids, short_first), "pieces"), max_tokens)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

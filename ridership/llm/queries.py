@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_best_fit_packing")
 def _(spark, sf):
-    out = packing.pack_documents(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    out = packing.pack_documents(table(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), short_first=True)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -91,6 +91,29 @@ def test_packed_sequences(spark):
     assert sum(map(len, rows.values())) == sum(r.length for r in packed.collect())
 
 
+def test_only_the_first_piece_is_short(spark, tmp_path):
+    """op1 on documents just below, at and above one and two sequences; the ids are those of the library."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from ridership.llm.queries import QUERIES
+
+    path = __import__("public_tokenizers").path("byte_bpe_50k.json")
+    rows = [(i, "a" + " a" * (n - 1)) for i, n in enumerate((1, 2046, 2047, 2048, 4095, 4096, 5000))] + [(7, None), (8, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for doc, t in rows:
+        ids = Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids + [0]
+        first = (len(ids) - 1) % 2048 + 1
+        for piece, end in enumerate(range(first, len(ids) + 1, 2048)):
+            at = 0 if piece == 0 else end - 2048
+            want[doc, piece] = (at, end - at, zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[at:end])))
+    got = QUERIES["op1_best_fit_packing"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want
+    assert all(r.length == 2048 for r in got if r.piece)
+
+
 def plain_shingles(t, size=5):
     t = (t or "").translate({i: i + 32 for i in range(65, 91)}).encode()
     w = t.split()
