@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ridership.functions.times import epoch_micros
 from ridership.operators import encode, metrics, sequence, split
 from ridership.operators.basic import route_direction_key
+from ridership.operators.enrich import concat
 from ridership.operators.ordered import Along
 from ridership.registry.base import EV, d, query, r
 from ridership.registry.enrichment import MATCHED, matched
@@ -28,7 +29,7 @@ def _register_split(closed: str, hi: str) -> None:
     @query(f"l1_date_split_{closed}", "stop_events", union)
     def _(spark, sf):
         parts = split.date_split(bind(spark, sf, "stop_events"), _RANGES, closed=closed)
-        return split.concat(*[p.select(F.lit(n).alias("part"), "event_id") for n, p in parts.items()])
+        return concat(*[p.select(F.lit(n).alias("part"), "event_id") for n, p in parts.items()])
 
 
 _register_split("both", "<=")
