@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridership.session import stage
@@ -28,6 +28,12 @@ def one_hot(df: DataFrame, categories: Mapping[str, Sequence]) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in hot], *[x.alias(n) for n, x in hot.items()])
 
 
+def hot_column(df: DataFrame, col: str, value: object) -> Column:
+    """The 0/1 column of one value of ``one_hot``, which is 0 throughout where no row that was fitted has the value."""
+    name = f"{col}_{value}"
+    return (F.col(f"`{name}`") if name in df.columns else F.lit(0)).alias(name)
+
+
 def one_hot_inverse(df: DataFrame, categories: Mapping[str, Sequence]) -> DataFrame:
     """The category columns back from their 0/1 columns, which are dropped."""
     back = {

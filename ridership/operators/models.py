@@ -97,13 +97,24 @@ def _as_text(df: DataFrame, features: Features) -> DataFrame:
 
 
 def fit_classifier(df: DataFrame, features: Features, classifier: Estimator, label: str = "y_class") -> PipelineModel:
-    """Feature stages and a classifier as one pipeline; rows without a label are left out."""
+    """Feature stages and a classifier as one pipeline; rows without a label are left out.
+
+    Without any row to fit on the pipeline has no stages; its predictions are NULL.
+    """
     rows = _as_text(df.filter(F.col(label).isNotNull() & _known(features)), features).withColumn("label", F.col(label).cast("double"))
+    few = len(rows.take(2))
+    if not few:
+        return PipelineModel(stages=[])
+    if few == 1:
+        # trees refuse a single row; twice the row is the same fit
+        rows = rows.union(rows)
     return Pipeline(stages=[*feature_stages(features), classifier]).fit(rows)
 
 
 def predict(model: PipelineModel, df: DataFrame, features: Features, name: str = "y_pred") -> DataFrame:
-    """The input columns and the predicted class, NULL where a feature is NULL."""
+    """The input columns and the predicted class, NULL where a feature is NULL or the fit had no rows."""
+    if not model.stages:
+        return df.select(*df.columns, F.lit(None).cast("int").alias(name))
     out = model.transform(_as_text(df, features))
     return out.select(*df.columns, F.when(_known(features), F.col("prediction").cast("int")).alias(name))
 
@@ -121,8 +132,13 @@ def fit_boosted_ovr(df: DataFrame, features: Features, rounds: int = 20, depth:
 def fit_mlp(
     df: DataFrame, features: Features, hidden: Sequence[int] = (32,), iterations: int = 50, seed: int = 100
 ) -> PipelineModel:
-    """Multilayer perceptron on scaled features (M3); its input width comes from the fitted feature stages."""
+    """Multilayer perceptron on scaled features (M3); its input width comes from the fitted feature stages.
+
+    Without any row to fit on it has no stages, as that of ``fit_classifier``.
+    """
     rows = _as_text(df.filter(F.col("y_class").isNotNull() & _known(features)), features).withColumn("label", F.col("y_class").cast("double"))
+    if rows.isEmpty():
+        return PipelineModel(stages=[])
     scaler = MinMaxScaler(inputCol="features", outputCol="scaled")
     stages = Pipeline(stages=[*feature_stages(features), scaler]).fit(rows)
     assembled = stages.transform(rows)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ridership.functions.bins import HIGH_LOAD_BOUNDS
 from ridership.operators import boosting, models
+from ridership.operators.encode import hot_column
 from ridership.operators.enrich import weather_hourly
 from ridership.plans import prediction
 from ridership.plans.feature_store import WEATHER_VALUES
@@ -57,7 +58,7 @@ def _(spark, sf):
     assert bounds[2:] == HIGH_LOAD_BOUNDS
     return out.select(
         "transit_date", "y_reg100", "temperature", "y_class", "hour_ix", "day_ix",
-        *[f"dayofweek_{i}" for i in range(1, 8)], F.col("route_id_direction_1_FROM").alias("route_1_from"),
+        *[hot_column(out, "dayofweek", i) for i in range(1, 8)], hot_column(out, "route_id_direction", "1_FROM").alias("route_1_from"),
     )
 
 

@@ -55,3 +55,37 @@ def test_sweep_takes_all_windows(monkeypatch, spark):
     args, settings = seen(monkeypatch, spark, "m5_window_sweep", "window_sweep")
     assert args[1:3] == ([1, 10, 20, 30, 40, 50, 60, 120], FULL) and settings == {}
     assert args[0](120).filter("y_class IS NOT NULL").count() > 0
+
+
+@pytest.fixture(scope="module")
+def bare(spark, tmp_path_factory):
+    """A table set whose cleaning leaves no rows: no arrival is known."""
+    path = str(tmp_path_factory.mktemp("none"))
+    rows = [(101 * i, i, "view", 40.0 + i) for i in range(6)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double")
+    events.selectExpr("event_id", "timestamp_ntz'2024-01-02 10:00:00' AS ts", "user_id", "event_type", "value", "'' AS props").write.parquet(f"{path}/events.parquet")
+    for t in ("lineitem", "part"):
+        spark.read.parquet(f"{SMALL}/{t}.parquet").limit(0).write.parquet(f"{path}/{t}.parquet")
+    return path
+
+
+@pytest.mark.parametrize("key", ["m1_prepare_training", "m2_cascade", "m3_forest", "m3_boosted_ovr", "m3_mlp", "m5_window_sweep", "m7_save_load", "same_day_splits"])
+def test_no_training_rows_give_no_rows(spark, bare, key):
+    assert QUERIES[key](spark, bare).collect() == []
+
+
+def test_models_without_rows_answer_null(spark, tmp_path):
+    rows = training_rows(spark, SMALL)
+    cascade = models.fit_cascade(rows.limit(0), FULL)
+    cascade.save(str(tmp_path))
+    out = models.predict_cascade(models.Cascade.load(str(tmp_path), FULL), rows)
+    assert out.count() == rows.count() and out.filter("y_pred IS NOT NULL").isEmpty()
+    assert dict(out.dtypes)["y_pred"] == "int"
+    net = models.predict(models.fit_mlp(models.prepare_classes(rows.limit(0))[0], FULL), rows, FULL)
+    assert net.filter("y_pred IS NOT NULL").isEmpty()
+
+
+def test_a_forest_of_one_row(spark):
+    rows = models.prepare_classes(training_rows(spark, SMALL))[0].filter("y_class IS NOT NULL AND temperature IS NOT NULL AND humidity IS NOT NULL AND precipitation_intensity IS NOT NULL AND scheduled_headway IS NOT NULL")
+    one = rows.orderBy("transit_date", "route_id_direction", "time_window").limit(1)
+    assert [r.y_pred == r.y_class for r in models.predict(models.fit_forest(one, FULL, 20, 5), one, FULL).collect()] == [True]
