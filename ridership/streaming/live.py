@@ -50,7 +50,8 @@ class Headways(StatefulProcessor):
     """State of one stop: events whose gaps are not settled, and the last settled time in each of two orders.
 
     Times are microseconds. An event is settled in an order once the watermark has passed its time in it; it is answered
-    once both are. A timer per event brings it up; one more, after ``forget`` quiet seconds, drops what is left.
+    once both are. One timer, at the first time that waits, brings all up that the watermark has passed and sets the next; one
+    more, after ``forget`` quiet seconds, drops what is left.
     """
 
     WAITING = "event_id long, scheduled long, departure long, sched_hdwy long, actual_hdwy long, sched_done boolean, actual_done boolean"
@@ -73,8 +74,7 @@ class Headways(StatefulProcessor):
             times = {max(r[1:]) for r in new}
             latest = max(times | ({latest} if latest is not None else set()))
             self.last.update((scheduled, departure, settled, latest))
-            for t in times:
-                self.handle.registerTimer(t // 1000 + 1)
+            self.handle.registerTimer(min(times) // 1000 + 1)
             self.handle.registerTimer(latest // 1000 + self.forget * 1000)
         yield pd.DataFrame()
 
@@ -103,6 +103,7 @@ class Headways(StatefulProcessor):
             left = [tuple(r) for r in rows if not (r[5] and r[6])]
             if left:
                 self.waiting.put(left)
+                self.handle.registerTimer(min(max(r[1], r[2]) for r in left) // 1000 + 1)
             else:
                 self.waiting.clear()
             self.last.update((scheduled, departure, to, latest))
@@ -114,6 +115,9 @@ class Headways(StatefulProcessor):
                     out[name] = pd.array([r[i] for r in whole], dtype="Int64")
                 yield out
                 return
+        elif self.waiting.exists():
+            # what came since goes with the next watermark
+            self.handle.registerTimer(to // 1000 + 1)
         yield pd.DataFrame()
 
     def close(self) -> None:
