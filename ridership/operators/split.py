@@ -6,12 +6,13 @@ Shuffles are an order by ``xxhash64(seed, key)``, so a split is repeatable and s
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridership.operators.basic import between_dates
-from ridership.operators.ordered import PIECE_ROWS, Along, row_numbers, top_k
+from ridership.operators.ordered import PIECE_ROWS, Along, fits, row_numbers, top_k
 from ridership.session import stage
 
 
@@ -24,10 +25,27 @@ def _hash(keys: Sequence[str], seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
 
 
+RANGE_BITS = 12
+
+
 def _class_rank(df: DataFrame, y: str, keys: Sequence[str], seed: int, piece_rows: int) -> DataFrame:
-    """Shuffled row number within a class, which may hold most rows."""
+    """Shuffled row number within a class, which may hold most rows.
+
+    Where a class has more than ``piece_rows`` rows, rows are ranked within 4,096 ranges of their hashes, which are even, and
+    a count per class and range gives the rows before a range: one count and one shuffle, however large a class is.
+    """
     hashed = df.withColumn("_h", _hash(keys, seed))
-    return row_numbers(hashed, [y], Along(["_h", *keys], F.col("_h"), piece_rows), "_rank").drop("_h")
+    along = Along(["_h", *keys], F.col("_h"), piece_rows)
+    if fits(hashed, [y], along):
+        return row_numbers(hashed, [y], replace(along, piece_rows=None), "_rank").drop("_h")
+    rows = hashed.withColumn("_range", F.shiftright("_h", 64 - RANGE_BITS).cast("int"))
+    counts = rows.groupBy(F.col(y).alias("_class"), F.col("_range").alias("_in")).agg(F.count(F.lit(1)).alias("_n"))
+    so_far = F.sum("_n").over(Window.partitionBy("_class").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_class", "_in", F.coalesce(so_far, F.lit(0)).alias("_before"))
+    within = Window.partitionBy(y, "_range").orderBy(*[F.col(c).asc_nulls_first() for c in ("_h", *keys)])
+    ranked = rows.withColumn("_rank", F.row_number().over(within))
+    ranked = ranked.join(starts, F.col(y).eqNullSafe(F.col("_class")) & (F.col("_range") == F.col("_in")))
+    return ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_h", "_range", "_class", "_in", "_before")
 
 
 def stratified_kfold(
