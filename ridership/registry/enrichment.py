@@ -273,9 +273,8 @@ def _(spark, sf):
     JOIN lists USING (transit_date, block_abbr)""",
 )
 def _(spark, sf):
-    out = enrich.block_trip_ids(trips_of(spark, sf))
-    ids = F.array_join(F.transform("block_trip_ids", lambda x: x.cast("string")), ",")
-    return out.select("transit_date", "block_abbr", "trip_id", ids.alias("block_trip_ids"))
+    out = enrich.block_trip_ids(trips_of(spark, sf), separator=",")
+    return out.select("transit_date", "block_abbr", "trip_id", "block_trip_ids")
 
 
 @query(
