@@ -358,3 +358,36 @@ def test_trip_loads_keep_every_load(spark):
     df = spark.createDataFrame([(1, v) for v in (3, 1, 3, None, 0)], "trip_id int, load int").withColumn("transit_date", F.lit(T0.date()))
     out = rollup.trip_loads(df).select(arrays.expand_counts("load_counts", "load").alias("loads"))
     assert out.first()["loads"] == [0, 1, 3, 3]
+
+
+def test_equal_segments_meet_a_trip_once(spark):
+    """Segments through the same cells are one shape; only the last join gives a row per trip and segment."""
+    grid = geo.Grid(0.0, 0.0, 10, 3, 3)
+    cells = spark.createDataFrame([(t, x, y) for t in range(4) for x in range(2) for y in range(3)], "trip_id int, ix long, iy long")
+    lines = [(i, 0.001, 0.001, 0.002, 0.003) for i in range(50)] + [(50, 0.005, 0.005, 0.015, 0.006), (51, 0.015, 0.005, 0.025, 0.006), (52, 0.001, 0.001, 0.05, 0.001)]
+    segs = spark.createDataFrame(lines, "xd_id int, lon0 double, lat0 double, lon1 double, lat1 double")
+    trip_shapes, members = geo.shapes_within(cells, segs, grid)
+    assert sorted(map(tuple, trip_shapes.collect())) == [(t, s) for t in range(4) for s in (0, 50)]
+    assert sorted(map(tuple, members.collect())) == [(i, 0) for i in range(50)] + [(50, 50), (51, 51)]
+    pairs = sorted(map(tuple, geo.segments_within(cells, segs, grid).collect()))
+    assert pairs == [(t, i) for t in range(4) for i in range(51)]
+    assert sorted(r[0] for r in geo.segments_of_all_trips(trip_shapes, members).collect()) == list(range(51))
+
+
+def test_folds_of_a_large_class_are_those_of_a_small_one(spark):
+    """Ranked by ranges of hashes or in one window: the same folds, a missing class and repeated rows included."""
+    rows = [(i % 900, None if i % 11 == 0 else i % 3) for i in range(1000)] + [(None, 1), (None, None)]
+    df = spark.createDataFrame(rows, "id long, y int")
+    counts = lambda n: sorted(map(str, split.stratified_kfold(df, "y", ["id"], 5, piece_rows=n).groupBy("id", "y", "kfold").count().collect()))
+    assert counts(50) == counts(5_000_000)
+    plan = split.stratified_kfold(df, "y", ["id"], 5, piece_rows=50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "LeftOuter" not in plan
+
+
+def test_block_text_is_made_before_the_join(spark):
+    df = spark.createDataFrame([("d", 1, 3), ("d", 1, 1), ("d", 1, 3), ("d", 2, None), (None, 1, 5)], "transit_date string, block_abbr int, trip_id long")
+    out = enrich.block_trip_ids(df, separator=",")
+    got = sorted(((r.transit_date or "", r.block_abbr, r.trip_id or 0, r.block_trip_ids) for r in out.collect()), key=str)
+    assert got == sorted([("", 1, 5, None), ("d", 1, 1, "1,3"), ("d", 1, 3, "1,3"), ("d", 1, 3, "1,3"), ("d", 2, 0, "")], key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("array_join")

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,61 @@ def test_deliveries_keep_their_order_and_all_rows(spark):
 def test_empty_stream(spark, make):
     path = delivered(spark, [[]])
     assert replay.run_available(make(replay.watch(spark.createDataFrame([], SCHEMA), path, 1)), scratch_path(spark, "out")).table.count() == 0
+
+
+def test_a_batch_sets_few_timers():
+    """However many events wait at a stop, one timer brings them up and one forgets the stop."""
+
+    class Kept:
+        def __init__(self):
+            self.value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        put = update
+
+        def appendList(self, rows):  # noqa: N802
+            self.value = [*(self.value or []), *rows]
+
+        def exists(self):
+            return bool(self.value)
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        def getListState(self, *_):  # noqa: N802
+            return Kept()
+
+        getValueState = getListState
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+    class Times:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.at
+
+    stop = live.Headways("event_id", 3600)
+    stop.init(handle := Handle())
+    part = pd.DataFrame({"event_id": range(1000), "scheduled_us": [i * 1_000_000 for i in range(1000)], "departure_us": [i * 1_000_000 for i in range(1000)]})
+    list(stop.handleInputRows((1,), iter([part]), None))
+    assert len(handle.timers) <= 2 and min(handle.timers) == 1
+    (first,) = stop.handleExpiredTimer((1,), Times(499_000), None)
+    assert first["event_id"].tolist() == list(range(500)) and min(handle.timers[2:]) == 500_001
+    # rows that come at the same watermark wait for the next
+    list(stop.handleInputRows((1,), iter([part.tail(1)]), None))
+    (none,) = stop.handleExpiredTimer((1,), Times(499_000), None)
+    assert len(none) == 0 and handle.timers[-1] == 499_001
+    (rest,) = stop.handleExpiredTimer((1,), Times(2_000_000), None)
+    assert len(rest) == 501
