@@ -391,3 +391,20 @@ def test_block_text_is_made_before_the_join(spark):
     assert got == sorted([("", 1, 5, None), ("d", 1, 1, "1,3"), ("d", 1, 3, "1,3"), ("d", 1, 3, "1,3"), ("d", 2, 0, "")], key=str)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("array_join")
+
+
+def test_events_around_meet_few_other_rows(spark):
+    """The rows of a brute-force look, by a join on parts of a few hours and not on whole days."""
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    spans = [(0, 1, at(30), at(29), at(31)), (1, 1, at(30), None, None), (2, 1, at(50.5), at(10), None), (3, 2, at(3), None, at(4)), (4, None, at(5), at(4), at(6))]
+    matched = spark.createDataFrame(spans, "disruption_id int, block_abbr int, disruption_ts timestamp, arrival_time_prev timestamp, arrival_time_next timestamp")
+    rows = [(i, 1 + i % 2, at(i / 4) if i % 9 else None) for i in range(300)]
+    events = spark.createDataFrame(rows, "event_id int, block_abbr int, arrival_time timestamp")
+    pad = timedelta(hours=7)
+    want = sorted(
+        (k, e) for k, b, t, p, n in spans for e, eb, ea in rows
+        if b == eb and ea is not None and (p - pad if p else t) <= ea <= (n + pad if n else t)
+    )
+    out = disruption.events_around(matched, events)
+    assert sorted((r.disruption_id, r.event_id) for r in out.select("disruption_id", "event_id").collect()) == want
+    assert "_day" not in out._jdf.queryExecution().optimizedPlan().toString()
