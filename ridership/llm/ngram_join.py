@@ -88,10 +88,16 @@ def _pack(*columns: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counts of 32 bits in 16, in the same order."""
+    return np.round(np.log2(counts + 1.0) * 2047).astype(np.uint16)
+
+
 def profiles(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, text_key, n, set_key) of every document, stored, and the counts of shingles by hash modulo COUNTERS.
+    """(doc_id, text_key, n, set_key) of every document, stored, and how often shingles occur by hash modulo COUNTERS.
 
-    The key is NULL for the empty set. The counts cover all documents; their table has a fixed size.
+    The key is NULL for the empty set. The counts cover all documents; their table has a fixed size and holds logarithms,
+    which tell all counts to 2,000 apart and larger ones to a part in 2,000.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +127,9 @@ def profiles(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, np.ndarray]:
 
     out = stage(_texts(docs).mapInArrow(run, "block int, doc_id long, text_key long, n long, set_key long, blob binary"), "profiles")
     merged = out.filter("block IS NOT NULL").select("block", "blob").groupBy("block").applyInArrow(add, "block int, blob binary").collect()
-    counts = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.uint32)
+    counts = np.zeros((BLOCKS, COUNTERS // BLOCKS), np.uint16)
     for r in merged:
-        counts[r["block"]] = np.frombuffer(zstandard.decompress(bytes(r["blob"])), np.uint32)
+        counts[r["block"]] = _levels(np.frombuffer(zstandard.decompress(bytes(r["blob"])), np.uint32))
     return out.filter("block IS NULL").select("doc_id", "text_key", "n", "set_key"), counts.ravel()
 
 
@@ -421,6 +427,19 @@ def _contracted(open_lists: DataFrame, members: DataFrame, label: DataFrame, lea
     return asked
 
 
+def _merged(label: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """The components (node, label) after further links (a, b): only the components that these join are worked out anew."""
+    own = lambda x: label.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    edges = links.join(own("a"), "a", "left").join(own("b"), "b", "left")
+    top = components(edges.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), name)
+    moved = label.join(top.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    # a label is a node of its component, so what is in no component yet is what the links bring in
+    fresh = top.join(label.select("node"), "node", "left_anti").select("node", "label")
+    out = stage(moved.select("node", F.coalesce("to", "label").alias("label")).union(fresh), f"{name}_all")
+    discard(top)
+    return out
+
+
 def jaccard_components(docs: DataFrame, size: int = SIZE, list_rows: int = LIST_ROWS) -> DataFrame:
     """One row per document (doc_id, text): doc_id, text_key, n_shingles, component_id, component.
 
@@ -435,6 +454,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, list_rows: int = LIST_
     parts = int(total // list_rows) + 1
     met = postings(docs, counts, parts, size).groupBy("part")
     found = stage(met.applyInArrow(_leaders, "a long, b long, times long, na long, nb long, shingle long, place long, n long, postings long, early long, group_key long, set_key long"), "lists")
+    del counts, met  # a table of some MB, which the driver holds twice
     members = found.filter("set_key IS NOT NULL").select("group_key", "set_key")
     heads = stage(members.groupBy("group_key").agg(F.min("set_key").alias("head")), "heads")
     proposed = found.filter("a IS NOT NULL").groupBy("a", "b")
@@ -452,6 +472,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, list_rows: int = LIST_
     )
     first = _verified(docs, homes, star, size, "star")
     label = components(first, "star_components")
+    discard(first)
     lists = found.filter("shingle IS NOT NULL").select("shingle", "group_key", "place", "n", "postings", "early")
     # a group with several members is a list of its own
     several = members.groupBy("group_key").agg(F.count("*").alias("_sets")).filter("_sets > 1").select("group_key")
@@ -464,10 +485,8 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, list_rows: int = LIST_
         more = _verified(docs, homes, _contracted(open_lists, in_lists, label, leaders), size, f"round{leaders}")
         if more.isEmpty():
             break
-        both = stage(first.union(more), "found")
-        before, label = label, components(both, "round_components")
-        discard(first, more, before)
-        first = both
+        before, label = label, _merged(label, more, "round_components")
+        discard(more, before)
 
     placed = stage(
         members.join(label.withColumnRenamed("node", "set_key"), "set_key", "left").select("group_key", "set_key", F.coalesce("label", "set_key").alias("label")),
@@ -496,7 +515,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, list_rows: int = LIST_
     across = pairs.join(one("a"), "a").join(one("b"), "b").filter("la <> lb").select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"))
     inside = one("a").join(one("a").select("a", F.col("sa").alias("sb"), F.col("la").alias("lb")), "a").filter("sa < sb AND la <> lb").select("sa", "sb")
     second = _verified(docs, homes, across.union(inside).distinct(), size, "across")
-    label = components(first.union(second), "set_components")
+    label = _merged(label, second, "set_components")
 
     rooted = homes.join(label.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     smallest = rooted.groupBy("label").agg(F.min("doc_id").alias("component_id"))

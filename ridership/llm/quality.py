@@ -35,6 +35,7 @@ STYLE = 6
 STEMS = (4, 5)  # bytes
 TELLING = 15.0  # likelihood ratio that a word or stem must reach
 MAX_LABELLED = 8_000
+BLOCK = 1 << 18  # words and stems that the fit looks at together while it chooses among them
 
 
 def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -90,7 +91,12 @@ def fit(row: np.ndarray, dim: np.ndarray, style: np.ndarray, y: np.ndarray, step
     model = Model(np.zeros(DIMS), np.zeros(STYLE), 0.0)
     if n == 0 or y.min() == y.max():
         return model
-    seen, hit = np.bincount(dim, minlength=DIMS), np.bincount(dim, y[row], minlength=DIMS)
+    # in blocks, as few words are telling and the others should not be held several times over on the driver
+    blocks = [slice(i, i + BLOCK) for i in range(0, len(dim), BLOCK)]
+    seen, hit = np.zeros(DIMS, np.int64), np.zeros(DIMS)
+    for at in blocks:
+        seen += np.bincount(dim[at], minlength=DIMS)
+        hit += np.bincount(dim[at], y[row[at]], minlength=DIMS)
     cells = [(hit, y.sum()), (seen - hit, n - y.sum())]
     ratio = 2 * sum(
         c * np.log(np.maximum(c, 1e-9) * n / (np.maximum(s, 1) * t))
@@ -99,8 +105,9 @@ def fit(row: np.ndarray, dim: np.ndarray, style: np.ndarray, y: np.ndarray, step
     )
     (in_good, good), (in_bad, bad) = cells
     start = np.where(ratio >= TELLING, 0.5 * np.log((in_good + 0.5) / (good + 1) / ((in_bad + 0.5) / (bad + 1))), 0.0)
-    use = ratio[dim] >= TELLING
-    row, dim = row[use], dim[use]
+    telling = ratio >= TELLING
+    use = np.concatenate([np.zeros(0, np.int64), *[at.start + np.flatnonzero(telling[dim[at]]) for at in blocks]])
+    row, dim = row[use].astype(np.int64), dim[use].astype(np.int64)
     # per-weight steps by how much each measure varies, so rare words move as fast as common ones
     rate = 4.0 / (np.sqrt(seen / n) + 0.02) / np.sqrt(len(dim) / n + STYLE)
     w, s, b = start, model.style, float(np.log(y.mean() / (1 - y.mean())))
@@ -143,8 +150,8 @@ def fit_models(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
         even = Model(np.zeros(DIMS), np.zeros(STYLE), 0.0)
         return even, even
     dims = got.column("dims").combine_chunks()
-    row = np.repeat(np.arange(len(got)), np.diff(dims.offsets.to_numpy()))
-    dim = dims.flatten().to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(got), dtype=np.int32), np.diff(dims.offsets.to_numpy()))
+    dim = dims.flatten().to_numpy()
     style = got.column("style").combine_chunks().flatten().to_numpy().reshape(-1, STYLE)
     return tuple(fit(row, dim, style, got.column(c).to_numpy().astype(float)) for c in ("quality", "toxic"))
 

@@ -1,6 +1,7 @@
 """The cores of the operators against plain versions, on small made-up cases."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -379,3 +380,57 @@ def test_shrinkage_by_hand(spark):
     for r in rows:
         assert np.isclose(r.host_rate, host[r.host]) and np.isclose(r.path_rate, path[r.host, r.path])
         assert np.isclose(odds(r.posterior), odds(path[r.host, r.path]) + odds(r.p) - odds(rate))
+
+
+def test_the_fit_holds_its_words_once():
+    rng = np.random.default_rng(5)
+    n, words = 2_000, 10_000_000
+    row, dim = np.sort(rng.integers(0, n, words)).astype(np.int32), rng.integers(0, 50_000, words).astype(np.int32)
+    y, style = (np.arange(n) % 2).astype(float), rng.random((n, quality.STYLE))
+    dim[(y[row] == 1) & (dim < 40)] = 50_000  # a word of one class
+    seen = np.bincount(dim, minlength=quality.DIMS)
+    tracemalloc.start()
+    model = quality.fit(row, dim, style, y, steps=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * words, "a number for each word of the sample"
+    assert model.word[50_000] > 0 > model.word[7] and seen[7] > 0
+
+
+def test_counts_keep_their_order_in_few_bytes(spark):
+    counts = np.array([0, 1, 2, 3, 254, 255, 256, 2000, 2001, 65_535, 65_600, 1 << 20, 0xFFFFFFFF], np.uint32)
+    assert (np.diff(ngram_join._levels(counts).astype(int)) > 0).all()
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four five")], "doc_id long, text string")
+    table = ngram_join.profiles(docs)[1]
+    assert table.nbytes == 2 * ngram_join.COUNTERS and np.count_nonzero(table) == 2 and len(np.unique(table)) == 3
+
+
+def test_further_links_join_components(spark):
+    rng = random.Random(8)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)]
+    more = [(rng.randrange(400), rng.randrange(400)) for _ in range(60)]
+    frame = lambda rows: spark.createDataFrame([e for e in rows if e[0] != e[1]], "a long, b long")
+    for further in (more, []):
+        rows = ngram_join._merged(components(frame(links)), frame(further), "more").collect()
+        got = {r.node: r.label for r in rows}
+        real = [e for e in links + further if e[0] != e[1]]
+        want = roots({n for e in real for n in e}, real)
+        assert got.keys() == want.keys() and len(rows) == len(got)
+        assert len({(got[n], want[n]) for n in got}) == len(set(want.values())) == len(set(got.values()))
+        assert all(got[label] == label for label in got.values())
+
+
+def test_links_of_later_rounds_are_few(monkeypatch, spark):
+    """Only the first round works on all links; the later ones on those between its components."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(40):
+        base = [rng.choice(words) for _ in range(60)]
+        rows += [(8 * i + k, " ".join(base[:55] + [f"{w}x{k}" for w in base[55:55 + k % 4]])) for k in range(8)]
+    given = []
+    monkeypatch.setattr(ngram_join, "components", lambda e, name: given.append((name, e.distinct().count())) or components(e, name))
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d // 8 * 8 for d in range(320)}
+    assert given[0][0] == "star_components" and len(given) >= 2
+    assert all(n < given[0][1] / 2 for _, n in given[1:]), given
