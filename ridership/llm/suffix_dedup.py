@@ -8,11 +8,12 @@ hold a repeated string.
 2. The bytes around each shared anchor that strings with it can reach are its context. Equal contexts within a task
    leave the earliest document; the others' bytes are removed at once, which also keeps a passage that very many
    documents share small. The rest goes to shards by the anchor's bytes.
-3. A shard drops equal contexts again, in the same way, and builds suffix arrays of the remaining ones by
-   Larsson-Sadakane refinement (8, 16, 32, 64 bytes; only unresolved groups are sorted again). Common prefixes with the
+3. A shard drops equal contexts again, in the same way, and those that agree with no other one in enough bytes around
+   the anchor to have a string in common. It builds suffix arrays of the remaining ones by Larsson-Sadakane refinement (8, 16, 32, 64 bytes; only unresolved groups are sorted again). Common prefixes with the
    predecessor follow Kasai, a position of all contexts at a time. Runs of common prefixes of ``span`` bytes or more are
-   equal strings; all but the earliest document's are removed. A shard above ``SHARD_BYTES`` becomes several arrays,
-   whose sorted strings are merged by binary search in one another.
+   equal strings; all but the earliest document's are removed. A shard above ``SHARD_BYTES`` becomes several arrays;
+   their strings whose hash two of them have are merged into one sorted list, in which each array looks up its own by binary
+   search, so the work grows with the strings and not with the square of the arrays.
 
 Equal texts are one text: its earliest document is treated as above, the others lose everything. Whole texts are only
 moved where they have a shared anchor; a bitmap of fixed size keeps others out of that shuffle.
@@ -44,6 +45,7 @@ LEFT = SPAN - GRAM
 WIDTH = LEFT + SPAN
 PART_ROWS = 1_000_000
 SHARD_BYTES = 2 << 20
+STEP = 5  # bytes between the lengths at which contexts are compared
 LAST = 2**63 - 1
 _BITS = U64(48)
 
@@ -375,23 +377,69 @@ def _find(keys: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return np.where((lo < len(keys)) & (keys[place] == queries).all(axis=1), place, -1)
 
 
+def _spans(contexts: np.ndarray, context: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    return contexts[context[:, None], offset[:, None] + np.arange(SPAN)]
+
+
+def _hashes(contexts: np.ndarray, context: np.ndarray, offset: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """64-bit hash of each string of SPAN bytes."""
+    parts = [_row_hash(_spans(contexts, context[lo : lo + step], offset[lo : lo + step])) for lo in range(0, len(context), step)]
+    return np.concatenate([np.zeros(0, U64), *parts])
+
+
+def _held(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the sorted keys."""
+    if not len(keys):
+        return np.zeros(len(x), bool)
+    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
+
+
+def _merged(words: list[np.ndarray], least: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct strings of all blocks in order, and the least document of each."""
+    rows, at = np.concatenate(words), np.concatenate(least)
+    by = np.lexsort(rows.T[::-1])
+    rows, at = rows[by], at[by]
+    begin = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])[: len(rows)])
+    return rows[begin], np.minimum.reduceat(at, begin) if len(begin) else at
+
+
+def _may_repeat(contexts: np.ndarray) -> np.ndarray:
+    """Whether another of these contexts, all different, can hold one of the strings of a context.
+
+    Contexts with one string in common agree around the anchor in l bytes to the left and r to the right with l + r >= LEFT.
+    So for some multiple of STEP up to l they agree in it to the left and in the least r that goes with it to the right.
+    """
+    out = np.zeros(len(contexts), bool)
+    for left in range(0, LEFT + 1, STEP):
+        right = max(0, LEFT - left - STEP + 1)
+        h = _row_hash(contexts[:, LEFT - left : LEFT + GRAM + right])
+        by = np.argsort(h, kind="stable")
+        same = h[by[1:]] == h[by[:-1]]
+        out[by[1:][same]] = True
+        out[by[:-1][same]] = True
+    return out
+
+
 def repeated_strings(contexts: np.ndarray, at: np.ndarray, valid: np.ndarray, block_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """(context, offset) of the strings that an earlier document has as well."""
     size = max(1, block_bytes // (WIDTH + 1))
     blocks = [(lo, *_strings(contexts[lo : lo + size], at[lo : lo + size], valid[lo : lo + size])) for lo in range(0, len(contexts), size)]
     if len(blocks) > 1:
-        keys = []
+        firsts, hashes = [], []
         for lo, context, offset, group, _ in blocks:
             first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-            rows = contexts[lo + context[first][:, None], offset[first][:, None] + np.arange(SPAN)]
-            keys.append(_words(rows))
+            firsts.append(first)
+            hashes.append(_hashes(contexts, lo + context[first], offset[first]))
+        # only strings whose hash another block has as well are merged
+        every = np.sort(np.concatenate(hashes))
+        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        shared = [np.flatnonzero(_held(twice, h)) for h in hashes]
+        words = [_words(_spans(contexts, b[0] + b[1][f[u]], b[2][f[u]])) for b, f, u in zip(blocks, firsts, shared)]
+        keys, least = _merged(words, [b[4][u] for b, u in zip(blocks, shared)])
         best = [b[4].copy() for b in blocks]
-        for i, mine in enumerate(keys):
-            for j, other in enumerate(keys):
-                if i != j and len(mine) and len(other):
-                    place = _find(other, mine)
-                    hit = place >= 0
-                    best[i][hit] = np.minimum(best[i][hit], blocks[j][4][place[hit]])
+        for mine, use, m in zip(words, shared, best):
+            if len(mine):
+                m[use] = least[_find(keys, mine)]
         blocks = [(*b[:4], m) for b, m in zip(blocks, best)]
     found_c, found_o = [], []
     for lo, context, offset, group, least in blocks:
@@ -512,6 +560,7 @@ def _shard(parts: int, table: pa.Table) -> pa.Table:
     keep = np.flatnonzero(~gone & several[gram])
     _, unique = np.unique(same[keep] * 1, return_index=True)
     go = keep[unique]
+    go = go[_may_repeat(rows[go])]
     valid = (np.arange(LEFT + 1)[None, :] >= LEFT - left[go][:, None]) & (np.arange(LEFT + 1)[None, :] + SPAN <= LEFT + right[go][:, None])
     context, offset = repeated_strings(rows[go], at[go], valid)
     # the other places of the same document with an equal context lose the same strings
